@@ -19,7 +19,7 @@ def p4_found(spark, folder):
 
 
 def p4_lines(spark, folder):
-    found = lines.repeated_lines(_table(spark, folder, "documents"))
+    found = lines.repeated_lines(lines.hashed(_table(spark, folder, "documents"), "doc_id"))
     return found.select("domain", "n_docs", "n_clusters", "n_days", "domain_docs")
 
 

@@ -22,12 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papyrine.llm import wordsplit
 from papyrine.runtime import cut
 
 #: The tokenizer's own rule for words, as Python's regex reads it. Fixed value of the public tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: The same rule for Java, where \s is ASCII only.
-JAVA_PATTERN = PATTERN.replace(r"[^\s\p{L}\p{N}]", r"[^\p{IsWhite_Space}\p{L}\p{N}]").replace(r"\s+(?!\S)", r"\p{IsWhite_Space}+(?!\P{IsWhite_Space})").replace(r"|\s+", r"|\p{IsWhite_Space}+")
 #: Folder of the vocabulary files, unless the environment or an argument names another.
 FOLDER = "/opt/tokenizers"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -58,64 +57,87 @@ def encoder(path: str):
     return single or made.encode_ordinary
 
 
-@lru_cache(maxsize=1)
-def splitter():
-    import regex
-
-    return regex.compile(PATTERN).findall
-
-
-def words_of(text: Column) -> Column:
-    """The distinct words of a text; an empty array for null."""
-    return F.array_distinct(F.coalesce(F.regexp_extract_all(text, F.lit(JAVA_PATTERN), F.lit(0)), F.array().cast("array<string>")))
-
-
 def block_of(key: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
 
 
+def distinct_words(batches):
+    """(block, hash, word) of the distinct words of each batch of (block, key, text)."""
+    for batch in batches:
+        texts, block = batch.column("_text").to_pylist(), batch.column("_block").to_numpy()
+        for a, b in wordsplit.chunks(texts):
+            joined, starts, ends, owner = wordsplit.split(texts[a:b])
+            if not len(starts):
+                continue
+            pair = np.empty(len(starts), [("block", np.int32), ("hash", np.int64)])
+            pair["hash"] = wordsplit.hashes(joined, starts, ends)
+            _, first, back = np.unique(pair["hash"], return_index=True, return_inverse=True)
+            of = block[a:b][owner].astype(np.int64)
+            _, at = np.unique(of * len(first) + back, return_index=True)
+            words = np.array([joined[starts[i] : ends[i]] for i in first], object)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(of[at].astype(np.int32)), pa.array(pair["hash"][at]), pa.array(words[back[at]], pa.string())], names=["_block", "hash", "word"]
+            )
+
+
+def ragged(values: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(concatenated lists of the rows, their lengths) of the lists that end at `ends` in values."""
+    begins = np.concatenate([[0], ends[:-1]])
+    widths = (ends - begins)[rows]
+    offsets = np.cumsum(widths) - widths
+    index = np.arange(int(widths.sum()), dtype=np.int64) + np.repeat(begins[rows] - offsets, widths)
+    return values[index], widths
+
+
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", *, vocabulary: str | None = None, block_docs: int = 2_000) -> DataFrame:
     """(key, ids array<int>) for every row of docs."""
     path = vocabulary_path(vocabulary)
     blocks = max(1, -(-docs.count() // block_docs))
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).withColumn("_block", block_of(F.struct("_key"), blocks))
 
-    pairs = rows.select("_block", F.explode(words_of(F.col("_text"))).alias("word")).distinct()
-    pairs = cut(pairs)
+    pairs = rows.select("_block", "_text").mapInArrow(distinct_words, "_block int, hash long, word string")
+    pairs = cut(pairs.groupBy("_block", "hash").agg(F.min("word").alias("word"), (F.min("word") != F.max("word")).alias("clash")))
 
     def encode_words(batches):
         one = encoder(path)
         for batch in batches:
-            words = batch.column(0)
-            ids = [one(w) for w in words.to_pylist()]
-            yield pa.RecordBatch.from_arrays([words, pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+            ids = [one(w) for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("clash"), pa.array(ids, pa.list_(pa.int32()))], names=["hash", "clash", "ids"])
 
-    table = pairs.select("word").distinct().mapInArrow(encode_words, "word string, ids array<int>")
-    local = pairs.join(table, "word").select("_block", "word", "ids")
+    words = pairs.groupBy("hash").agg(F.min("word").alias("word"), (F.max("clash") | (F.min("word") != F.max("word"))).alias("clash"))
+    table = words.mapInArrow(encode_words, "hash long, clash boolean, ids array<int>")
+    local = pairs.select("_block", "hash").join(table, "hash")
 
     def join_back(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = dict(zip(right.column("word").to_pylist(), right.column("ids").to_pylist(), strict=True))
-        split, one = splitter(), encoder(path)
-        flat, ends = [], [0]
-        for text_ in left.column("_text").to_pylist():
-            if text_:
-                words = split(text_)
-                try:
-                    ids = [known[w] for w in words]
-                except KeyError:  # a word that Java's older Unicode tables split in another way
-                    ids = [known[w] if w in known else one(w) for w in words]
-                part = np.fromiter(chain.from_iterable(ids), np.int32)
-                flat.append(part)
-                ends.append(ends[-1] + len(part))
+        lists = right.column("ids").combine_chunks()
+        known = right.column("hash").to_numpy()
+        order = np.argsort(known)
+        known = known[order]
+        flat, tails = np.asarray(lists.flatten()), np.asarray(lists.offsets)[1:] - lists.offsets[0].as_py()
+        apart = any(right.column("clash").to_pylist())  # two words of one hash: encode this block's words one by one
+        texts = left.column("_text").to_pylist()
+        out, counts = [], np.zeros(len(texts), np.int64)
+        for a, b in wordsplit.chunks(texts):
+            joined, starts, ends, owner = wordsplit.split(texts[a:b])
+            if not len(starts):
+                continue
+            if apart:
+                one = encoder(path)
+                each = [one(joined[s:e]) for s, e in zip(starts, ends, strict=True)]
+                widths = np.fromiter(map(len, each), np.int64, len(each))
+                out.append(np.fromiter(chain.from_iterable(each), np.int32))
             else:
-                ends.append(ends[-1])
-        values = np.concatenate(flat) if flat else np.zeros(0, np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(values))
-        return pa.table({"_key": left.column("_key"), "ids": lists})
+                found = order[np.searchsorted(known, wordsplit.hashes(joined, starts, ends))]
+                ids, widths = ragged(flat, tails, found)
+                out.append(ids)
+            counts[a:b] = np.bincount(owner, weights=widths, minlength=b - a).astype(np.int64)
+        values = np.concatenate(out) if out else np.zeros(0, np.int32)
+        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        return pa.table({"_key": left.column("_key"), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32()))})
 
     kind = dict(rows.dtypes)["_key"]
-    blocks_of_rows = rows.select("_block", "_key", "_text").groupBy("_block")
-    return blocks_of_rows.cogroup(local.groupBy("_block")).applyInArrow(join_back, f"_key {kind}, ids array<int>").select(F.col("_key").alias(key), "ids")
+    by_block = rows.select("_block", "_key", "_text").groupBy("_block")
+    return by_block.cogroup(local.groupBy("_block")).applyInArrow(join_back, f"_key {kind}, ids array<int>").select(F.col("_key").alias(key), "ids")
 
 
 def pieces(spark, vocabulary: str | None = None) -> DataFrame:
