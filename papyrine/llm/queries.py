@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm import lines, tokens
+from papyrine.llm import content, language, lines, tokens
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,6 +27,28 @@ def p4_clean(spark, folder):
     return lines.without_repeated(_table(spark, folder, "documents"))
 
 
+def p5_found(spark, folder):
+    return content.furniture_lines(_table(spark, folder, "documents"))
+
+
+def p5_main_text(spark, folder):
+    return content.main_text(_table(spark, folder, "documents"))
+
+
+def p3_found(spark, folder):
+    return language.mislabelled(_table(spark, folder, "documents"))
+
+
+def p3_languages(spark, folder):
+    found = language.identify(_table(spark, folder, "documents"))
+    return found.select("doc_id", "label", "languages", "confidence")
+
+
+def p3_segments(spark, folder):
+    found = language.identify(_table(spark, folder, "documents"))
+    return found.select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.line_no", "s.lang", "s.confidence")
+
+
 def p8_ids(spark, folder):
     return tokens.encode(_table(spark, folder, "documents"))
 
@@ -38,7 +60,7 @@ def p8_decoded(spark, folder):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_lines": p4_lines, "p4_clean": p4_clean, "p8_ids": p8_ids, "p8_decoded": p8_decoded}
+    return {name: made for name, made in sorted(globals().items()) if name[:1] == "p" and name[1:2].isdigit()}
 
 
 _SPACE = "[\\t\\x0b\\x0c\\r \\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
