@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm import content, language, lines, tokens
+from papyrine.llm import content, encoding, language, lines, tokens
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -49,6 +49,19 @@ def p3_segments(spark, folder):
     return found.select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.line_no", "s.lang", "s.confidence")
 
 
+def _repaired(spark, folder):
+    return encoding.repair(encoding.records(_table(spark, folder, "documents"), _table(spark, folder, "train_qa")))
+
+
+def p6_found(spark, folder):
+    # rows of train_qa are delivered again under the same id
+    return _repaired(spark, folder).select("record_table", "record_key").distinct()
+
+
+def p6_restored(spark, folder):
+    return _repaired(spark, folder)
+
+
 def p8_ids(spark, folder):
     return tokens.encode(_table(spark, folder, "documents"))
 
