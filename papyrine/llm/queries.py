@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm import content, encoding, language, lines, tokens
+from papyrine.llm import consensus, content, encoding, language, lines, overlap, tokens
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -62,6 +62,38 @@ def p6_restored(spark, folder):
     return _repaired(spark, folder)
 
 
+def p2_found(spark, folder):
+    return overlap.overlap_pairs(_table(spark, folder, "train_qa"), _table(spark, folder, "sites"))
+
+
+def p2_overlaps(spark, folder):
+    return overlap.overlap_counts(_table(spark, folder, "train_qa"), _table(spark, folder, "sites"))
+
+
+def _answers(spark, folder):
+    """All annotations; those of iaa_disagreements repeat rows of annotator_a and annotator_b."""
+    return consensus.answers_of(_table(spark, folder, t) for t in ("annotator_a", "annotator_b", "annotator_more"))
+
+
+def p7_found(spark, folder):
+    answers, post, _ = consensus.estimate(_answers(spark, folder))
+    return consensus.against_consensus(answers, post)
+
+
+def p7_consensus(spark, folder):
+    _, post, _ = consensus.estimate(_answers(spark, folder))
+    return consensus.consensus(post).withColumn("posterior", F.round("posterior", 6))
+
+
+def p7_agreement(spark, folder):
+    return consensus.agreement(_answers(spark, folder))
+
+
+def p7_reliability(spark, folder):
+    _, _, rate = consensus.estimate(_answers(spark, folder))
+    return consensus.reliability(rate)
+
+
 def p8_ids(spark, folder):
     return tokens.encode(_table(spark, folder, "documents"))
 
