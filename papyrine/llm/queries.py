@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm import consensus, content, encoding, language, lines, overlap, tokens
+from papyrine.llm import consensus, content, encoding, language, lines, overlap, pairs, tokens
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def p6_restored(spark, folder):
     return _repaired(spark, folder)
 
 
+def p1_found(spark, folder):
+    return pairs.defects(_table(spark, folder, "train_qa"), _table(spark, folder, "documents"))
+
+
 def p2_found(spark, folder):
     return overlap.overlap_pairs(_table(spark, folder, "train_qa"), _table(spark, folder, "sites"))
 
