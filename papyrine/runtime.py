@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """As cut(), in a compressed columnar table: for wide rows that later steps read column by column.
+
+    The tables stand in the folder `tables` of the shared folder until sweep() removes them.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Removes the tables that saved() wrote; results that read them must have been written before."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint_folder(spark)}/tables")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sample_of(df: DataFrame, rows: int, key: Column) -> DataFrame:
+    """A deterministic sample of about `rows` rows at most, chosen by the hash of key; for fitting models only.
+
+    Whatever the table's size, little more than the sample leaves the executors.
+    """
+    total = df.count()
+    if total > rows:
+        df = df.filter(F.pmod(F.xxhash64(key), F.lit(1_000_003)) < max(1, round(1_000_003 * rows / total)))
+    return df
+
+
 def sized_join(
     left: DataFrame,
     right: DataFrame,
