@@ -3,8 +3,8 @@
 Every record is brought to a canonical form: accents folded, misspelt rare words set right against the frequent
 vocabulary, institution names replaced by one token, the question reduced to its language, matter, year, institution
 and the words of the programme, the answer to its value. Records of one canonical form and side are one class, so
-copies are never compared. A shingle is one word of the programme anchored at language, matter, year and institution
-(TESTDATA counts other wordings as the same, which runs of five words would miss). Minwise hashes of the shingles in
+copies are never compared. A shingle is one word of the programme anchored at language, matter, year, institution and
+value (TESTDATA counts other wordings as the same, which runs of five words would miss). Minwise hashes of the shingles in
 bands give candidates of one class from either side; candidates are verified by exact Jaccard similarity of at least
 0.8, equal values, and programme words that differ in misspellings only.
 
@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from papyrine.llm.values import YEAR, fold, matter_of, value_of
-from papyrine.runtime import cut
+from papyrine.runtime import saved
 
 LEAST_JACCARD = 0.8
-BANDS, ROWS = 12, 3
+BANDS, ROWS = 6, 2
 #: Share of records from which a word belongs to the frequent vocabulary: at most words per record / share entries.
 WORD_SHARE = 2e-4
 TOKEN = re.compile(r"[a-z0-9]+")
@@ -130,12 +130,12 @@ class Reader:
 
 
 def canonical(reader_of):
-    """Makes the function that maps batches to (id, side, anchor, words, value, class)."""
+    """Makes the function that maps batches to (id, side, anchor with the value, words, class)."""
 
     def run(batches):
         reader = reader_of()
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("id", "side", "anchor", "words", "value", "class")}
+            out: dict[str, list] = {k: [] for k in ("id", "side", "anchor", "words", "class")}
             columns = (batch.column(c).to_pylist() for c in ("id", "split", "question", "answers", "qa_language"))
             for id_, split, question, answers, language in zip(*columns, strict=True):
                 anchor, words, matter, year = reader.question(question)
@@ -145,15 +145,13 @@ def canonical(reader_of):
                     value = next((v for v in (value_of(a, matter, year) for a in answers or ()) if v), None)
                 if not value:
                     continue
-                anchor = f"{language}|{anchor}"
                 out["id"].append(id_)
                 out["side"].append("train" if split == "train" else "eval")
-                out["anchor"].append(anchor)
-                out["words"].append(list(words))
-                out["value"].append(value)
-                digest = xxh3_64_intdigest("\x1f".join((anchor, *words, value)))
+                out["anchor"].append(f"{language}|{anchor}|{value}")
+                out["words"].append(" ".join(words))
+                digest = xxh3_64_intdigest("\x1f".join((language or "", anchor, value, *words)))
                 out["class"].append(digest - (1 << 64) if digest >> 63 else digest)
-            kinds = {"id": pa.string(), "side": pa.string(), "anchor": pa.string(), "words": pa.list_(pa.string()), "value": pa.string(), "class": pa.int64()}
+            kinds = {"id": pa.string(), "side": pa.string(), "anchor": pa.string(), "words": pa.string(), "class": pa.int64()}
             yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in kinds.items()], names=list(kinds))
 
     return run
@@ -164,12 +162,12 @@ def banded(batches):
     for batch in batches:
         bands = []
         for anchor, words in zip(batch.column("anchor").to_pylist(), batch.column("words").to_pylist(), strict=True):
-            base = np.array([xxh3_64_intdigest(f"{anchor}|{w}") for w in set(words)] or [xxh3_64_intdigest(anchor)], np.uint64)
+            base = np.array([xxh3_64_intdigest(f"{anchor}|{w}") for w in set(words.split())] or [xxh3_64_intdigest(anchor)], np.uint64)
             with np.errstate(over="ignore"):
                 mixed = base[:, None] * PRIMES[None, :]
                 mixed ^= mixed >> np.uint64(29)
                 least = (mixed * np.uint64(0xBF58476D1CE4E5B9)).min(axis=0).reshape(BANDS, ROWS)
-                keys = (least * np.array([3, 5, 7], np.uint64)[:ROWS]).sum(axis=1) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                keys = (least * np.arange(3, 3 + 2 * ROWS, 2, dtype=np.uint64)).sum(axis=1) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             bands.append(keys.view(np.int64))
         flat = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), flat)
@@ -197,24 +195,27 @@ def overlaps(rows: DataFrame, sites: DataFrame) -> DataFrame:
         return made[0]
 
     asked = rows.filter(F.col("question").isNotNull() & F.col("id").isNotNull()).select("id", "split", "question", "answers", "qa_language")
-    members = cut(asked.mapInArrow(canonical(reader), "id string, side string, anchor string, words array<string>, value string, class long").dropDuplicates(["id"]))
-    classes = members.groupBy("class", "side").agg(F.first("anchor").alias("anchor"), F.first("words").alias("words"), F.first("value").alias("value"))
-    bands = classes.select("class", "side", "anchor", "words").mapInArrow(banded, "class long, side string, bands array<long>").select("class", "side", F.explode("bands").alias("band"))
-    asked_, taught = (bands.filter(F.col("side") == s).select("band", F.col("class").alias(f"{s}_class")) for s in ("eval", "train"))
-    candidates = asked_.join(taught, "band").select("eval_class", "train_class").distinct()
+    members = saved(asked.mapInArrow(canonical(reader), "id string, side string, anchor string, words string, class long"))
+    sides = {}
+    for side in ("eval", "train"):
+        own = members.filter(F.col("side") == side)
+        sides[side] = own.groupBy("class").agg(F.first("anchor").alias("anchor"), F.first("words").alias("words")).withColumn("side", F.lit(side))
+    bands = {s: c.mapInArrow(banded, "class long, side string, bands array<long>").select(F.explode("bands").alias("band"), F.col("class").alias(f"{s}_class")) for s, c in sides.items()}
+    candidates = bands["eval"].join(bands["train"], "band").select("eval_class", "train_class").distinct()
 
     def verify(batches):
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("eval_words", "train_words")]
-            ok = pa.array([same(set(a), set(b), words) for a, b in zip(*columns, strict=True)], pa.bool_())
+            ok = pa.array([same(set(a.split()), set(b.split()), words) for a, b in zip(*columns, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("eval_class").filter(ok), batch.column("train_class").filter(ok)], names=["eval_class", "train_class"])
 
-    sides = {s: classes.filter(F.col("side") == s).select(*(F.col(c).alias(f"{s}_{c}") for c in ("class", "anchor", "words", "value"))) for s in ("eval", "train")}
-    full = candidates.join(sides["eval"], "eval_class").join(sides["train"], "train_class")
-    alike = full.filter((F.col("eval_value") == F.col("train_value")) & (F.col("eval_anchor") == F.col("train_anchor")))
+    full = candidates
+    for s, c in sides.items():
+        full = full.join(c.select(*(F.col(x).alias(f"{s}_{x}") for x in ("class", "anchor", "words"))), f"{s}_class")
+    alike = full.filter(F.col("eval_anchor") == F.col("train_anchor"))
     confirmed = alike.select("eval_class", "train_class", "eval_words", "train_words").mapInArrow(verify, "eval_class long, train_class long")
-    ids = {s: members.filter(F.col("side") == s).select(F.col("class").alias(f"{s}_class"), F.col("id").alias(f"{s}_id")) for s in ("eval", "train")}
-    return confirmed.join(ids["eval"], "eval_class").join(ids["train"], "train_class").select("eval_id", "train_id")
+    ids = {s: members.filter(F.col("side") == s).select(F.col("class").alias(f"{s}_class"), F.col("id").alias(f"{s}_id")).distinct() for s in sides}
+    return confirmed.join(ids["eval"], "eval_class").join(ids["train"], "train_class").select("eval_id", "train_id").distinct()
 
 
 def overlap_pairs(rows: DataFrame, sites: DataFrame) -> DataFrame:
