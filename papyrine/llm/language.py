@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from papyrine.llm import content
 from papyrine.llm.lines import not_blank
+from papyrine.runtime import sample_of
 
 LANGUAGES = ("en", "vi", "fr", "de")
 #: Usual spellings of labels, lower case, without region. Fixed values.
@@ -139,10 +140,10 @@ def clean(lines: list[str], labels: list[int], groups: list[int]) -> tuple[list[
 
 
 def fit(docs: DataFrame, key: str = "doc_id", *, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Trains on the lines of at most sample_docs documents whose labels agree, chosen by hash."""
+    """Trains on the lines of about sample_docs documents whose labels agree, chosen by hash."""
     said, also = label_of(F.col("source_language")), label_of(F.col("lang"))
     agreed = docs.filter(not_blank(F.col("text")) & (said == also) & (said != "mixed") & (F.length("text") < 20_000))
-    rows = agreed.select(said.alias("said"), "text", F.xxhash64(key).alias("h")).orderBy("h").limit(sample_docs).select("said", "text").collect()
+    rows = sample_of(agreed, sample_docs, F.col(key)).select(said.alias("said"), "text").collect()
     lines, labels, groups = [], [], []
     for i, (said_, text) in enumerate(rows):
         own = [x.strip() for x in text.split("\n") if len(x.strip()) >= 40][:12]

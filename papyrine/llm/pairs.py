@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from papyrine.llm import language
 from papyrine.llm.overlap import LINKS
 from papyrine.llm.values import fold, matter_of
-from papyrine.runtime import cut
+from papyrine.runtime import cut, sample_of
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 TYPES = {"refusal": "refusal", "echo": "copy", "foreign": "other_language", "unfinished": "truncated"}
@@ -114,9 +114,10 @@ class Question:
         self.lang = lang
         self.named = "vi" if matter_of(self.folded) == "vname" else None
         self.evidence = fold(evidence) if evidence else ""
+        self.parts = 1 + ("track" in self.words) + ("campus" in self.words)
 
 
-FEATURES = 25
+FEATURES = 31
 
 
 def features(q: Question, clause: str, rates: dict[str, float], soft: np.ndarray) -> list[float]:
@@ -132,19 +133,21 @@ def features(q: Question, clause: str, rates: dict[str, float], soft: np.ndarray
     stripped = clause.rstrip()
     cut_sign = stripped.endswith(("…", "...")) or (stripped.endswith(("-", "–")) and len(words) > 0)
     final = stripped.endswith((".", "!", "?")) and not stripped.endswith("...")
-    midword = False
-    if q.evidence and not final and len(text) > 2:
+    midword = closed = spaced = False
+    if q.evidence and len(text) > 2:
         bare = text.rstrip(" .…-–")
         at = q.evidence.find(bare)
         if at >= 0:
             after = q.evidence[at + len(bare) : at + len(bare) + 1]
             midword = after.isalnum() and bare[-1:].isalnum()
+            closed, spaced = after in ("", ".", ",", ";", ":"), after == " "
     unable, source, person = bool(UNABLE.search(text)), bool(SOURCE.search(text)), bool(PERSON.search(text))
     best = int(soft.argmax())
     lang, sure = language.LANGUAGES[best], float(soft[best])
     other = q.lang is not None and lang != q.lang and lang != q.named and sure >= 0.8 and len([w for w in words if w.isalpha() and len(w) > 1]) >= 2
     open_ = text.count("(") > text.count(")")
     asks = stripped.endswith("?")
+    parts = 1 + (" huong " in text) + (" so " in text.partition("(co")[2])  # a name asked for has a part for each of the question's
     return [
         1.0,
         covered,
@@ -171,6 +174,12 @@ def features(q: Question, clause: str, rates: dict[str, float], soft: np.ndarray
         float(covered >= 0.95 and not digits),
         float(unable and digits),
         float(person and source and not digits),
+        float(rate is not None and rate < 0.004),
+        float(digits and rate is not None and rate < 0.02),
+        float(closed),
+        float(spaced),
+        float(q.named is not None and parts < q.parts),
+        float(q.named is not None and parts >= q.parts and rate is not None),
     ]
 
 
@@ -296,12 +305,10 @@ def made_examples(rows: list, seed: int = 5) -> list[tuple[object, list[tuple[st
 
 
 def fit(rows: DataFrame, tongue: language.Model, rates: dict[str, float], *, sample_pairs: int = SAMPLE_PAIRS) -> Field:
-    """Trains the field on at most sample_pairs pairs chosen by hash, half of them of the rarer question languages."""
-    asked = rows.filter(F.col("question").isNotNull()).select("question", "answers", "evidence", "qa_language", F.xxhash64("id").alias("h"))
-    share = min(1.0, 3.0 * sample_pairs / max(1, rows.count()))
-    near = asked.filter(F.pmod("h", F.lit(1_000_003)) < int(1_000_003 * share) + 1)
-    common = near.filter(F.col("qa_language") == "en").orderBy("h").limit(sample_pairs // 2).collect()
-    rest = asked.filter(F.coalesce(F.col("qa_language") != "en", F.lit(True)) & (F.pmod("h", F.lit(1_000_003)) < min(1_000_003, int(4_000_012 * share) + 1))).orderBy("h").limit(sample_pairs // 2).collect()
+    """Trains the field on about sample_pairs pairs chosen by hash, half of them of the rarer question languages."""
+    asked = rows.filter(F.col("question").isNotNull()).select("id", "question", "answers", "evidence", "qa_language")
+    english = F.coalesce(F.col("qa_language") == "en", F.lit(False))
+    common, rest = (sample_of(asked.filter(which), sample_pairs // 2, F.col("id")).collect() for which in (english, ~english))
     examples = made_examples(common + rest)
     flat = [c for _, clauses in examples for c, _ in clauses]
     soft = tongue.confidences(flat)
