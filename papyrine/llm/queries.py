@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm import consensus, content, encoding, language, lines, overlap, pairs, tokens
+from papyrine.llm import consensus, content, encoding, language, lines, overlap, packing, pairs, subjects, tokens
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -108,6 +108,36 @@ def p8_decoded(spark, folder):
     return back.select("doc_id", F.md5("decoded").alias("text_md5"))
 
 
+def _packed(spark, folder):
+    ids = tokens.encode(_table(spark, folder, "documents"))
+    return packing.pack(ids.select("doc_id", F.size("ids").alias("size")))
+
+
+def p9_containers(spark, folder):
+    return _packed(spark, folder)
+
+
+def p9_fill(spark, folder):
+    return packing.fill_rate(_packed(spark, folder))
+
+
+def _areas(spark, folder):
+    return subjects.areas(_table(spark, folder, "documents"), _table(spark, folder, "subject_labels"))
+
+
+def p10_found(spark, folder):
+    labels = _table(spark, folder, "subject_labels").select("doc_id").distinct()
+    return _areas(spark, folder).join(F.broadcast(labels) if labels.count() < 200_000 else labels, "doc_id", "left_anti").select("doc_id", "subject")
+
+
+def p10_areas(spark, folder):
+    return _areas(spark, folder).withColumn("share", F.round("share", 6))
+
+
+def p10_composition(spark, folder):
+    return subjects.composition(_areas(spark, folder))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: made for name, made in sorted(globals().items()) if name[:1] == "p" and name[1:2].isdigit()}
 
