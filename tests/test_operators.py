@@ -174,7 +174,7 @@ def test_crawl_levels(spark):
 
 
 def test_sized_join_salts_beyond_the_limit(spark):
-    left = spark.range(1000).select("id", (F.col("id") % 3 // 2).alias("k"))
+    left = spark.range(1000).select("id", F.floor(F.col("id") % 3 / 2).alias("k"))
     right = spark.createDataFrame([(0, "a"), (1, "b")], "k long, v string")
     small = sorted(tuple(r) for r in runtime.sized_join(left, right, ["k"]).select("id", "v").collect())
     large = sorted(tuple(r) for r in runtime.sized_join(left, right, ["k"], limit=0).select("id", "v").collect())

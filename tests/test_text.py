@@ -23,7 +23,7 @@ def test_folds_differ_in_case_and_stroke(spark):
 
 def test_accent_map_follows_canonical_decomposition():
     chars, bases = T.accent_map()
-    assert len(chars) == len(bases) and len(chars) > 500
+    assert len(chars) == len(bases) and len(chars) > 400
     assert all(unicodedata.normalize("NFD", c)[0] == b for c, b in zip(chars, bases, strict=True))
 
 
@@ -35,7 +35,7 @@ def test_tokens_and_terms(spark):
 
 def test_normalize_text(spark):
     got = column(spark, ["a&amp;b c\n\n\n\n ★ d \n", None, ""], T.normalize_text(F.col("v")))
-    assert got == [("a&b c\nd",), (None,), ("",)]
+    assert got == [("a&b c\n\nd",), (None,), ("",)]
 
 
 def test_clean_page_keeps_first_of_repeated_lines(spark):
