@@ -134,3 +134,25 @@ def histogram(rows: DataFrame, column: str) -> DataFrame:
     """One row with a map from value to count."""
     counts = rows.groupBy(column).agg(F.count("*").alias("n")).filter(F.col(column).isNotNull())
     return counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "n")))).alias("counts"))
+
+
+def refreshed(cached: DataFrame, pairs: DataFrame, *, key: str = "doc_id") -> DataFrame:
+    """Cached documents without their fact lines, cleaned and enriched anew; facts come back only where nothing is left."""
+    bare = cached.withColumn("text", F.array_join(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: ~x.startswith("Fact ")), "\n"))
+    cleaned = clean_documents(bare, key=key).withColumnRenamed("text", "_clean")
+    facts = fact_lines(pairs).select(F.col("source_url").alias("url"), F.col("text").alias("_facts"))
+    rows = bare.select(key, "title", "url").join(cleaned, key).join(facts, "url", "left")
+    return enrich(rows.select(key, "title", "url", F.coalesce(F.nullif("_clean", F.lit("")), F.col("_facts"), F.lit("")).alias("text")))
+
+
+def repaired_titles(docs: DataFrame, *, bad: tuple[str, ...] = ("home", "index", "untitled", "trang chủ")) -> DataFrame:
+    """Documents whose missing or empty-worded title is replaced by one made of the URL, classified anew."""
+    title = F.when(F.col("title").isNull() | (F.length(F.trim("title")) < 4) | F.lower(F.trim("title")).isin(*bad), T.headline_from_url(F.col("url"))).otherwise(F.col("title"))
+    return docs.withColumn("title", title).withColumn("category", classify.category_raw(F.col("url"), F.col("title"), F.col("text")))
+
+
+def manifest(docs: DataFrame, *, most: int = 800) -> DataFrame:
+    """(documents, domains, urls): counts, and the first `most` URLs in order."""
+    first = docs.filter(F.col("url").isNotNull()).select("url").distinct().orderBy("url").limit(most).agg(F.array_sort(F.collect_list("url")).alias("urls"), F.lit(1).alias("k"))
+    counts = docs.agg(F.count("*").alias("documents"), F.count_distinct(T.host(F.col("url"))).alias("domains"), F.lit(1).alias("k"))
+    return counts.join(F.broadcast(first), "k").drop("k")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from papyrine.functions import classify, metrics
 from papyrine.functions import text as T
+from papyrine.runtime import once
 
 #: Patterns of typed answers per kind, first match wins. Fixed values.
 PATTERNS = {
@@ -40,11 +41,11 @@ def best_sentences(questions: DataFrame, retrieved: DataFrame, *, limit: int = 8
 def typed_answer(question: Column, text: Column, kind: Column | None = None) -> Column:
     """The first match of the patterns of the question's kind; Yes for a yes/no question with a linking verb; else null."""
     kind = classify.question_kind(question) if kind is None else kind
-    out = F.when((kind == "yesno") & text.rlike(f"(?i){LINKING}"), F.lit("Yes"))
-    for name, patterns in PATTERNS.items():
-        found = F.coalesce(*(F.nullif(F.regexp_extract(text, f"(?i){p}" if name != "date" else p, 0), F.lit("")) for p in patterns))
-        out = F.when(kind == name, T.clean_answer(found)).otherwise(out)
-    return F.nullif(out, F.lit(""))
+    by_kind = F.create_map(*(x for name, ps in PATTERNS.items() for x in (F.lit(name), F.array(*(F.lit(p if name == "date" else f"(?i){p}") for p in ps)))))
+    patterns = F.when(kind == "yesno", F.array(F.lit(f"(?i){LINKING}"))).otherwise(F.element_at(by_kind, kind))
+    found = F.filter(F.transform(patterns, lambda p: F.call_function("regexp_extract", text, p, F.lit(0))), lambda x: x != "")
+    first = F.get(found, F.lit(0))
+    return F.when(kind == "yesno", F.when(first.isNotNull(), F.lit("Yes"))).otherwise(F.nullif(T.clean_answer(first), F.lit("")))
 
 
 def named_answer(question: Column, text: Column) -> Column:
@@ -75,8 +76,10 @@ def compared_option(question: Column, text: Column, *, gap: int = 80) -> Column:
 
 def facts_of(retrieved: DataFrame, questions: DataFrame, *, least: float) -> DataFrame:
     """(qid, answer, score, sure): each question's best compatible fact; sure if its score reaches `least`."""
-    rows = retrieved.join(questions, "qid").withColumn("fact_question", T.fact_question(F.col("text"))).withColumn("answer", T.fact_answer(F.col("text")))
-    fit = rows.filter(F.col("answer").isNotNull() & F.col("fact_question").isNotNull() & classify.compatible(classify.question_kind(F.col("question")), classify.question_kind(F.col("fact_question"))))
+    rows = once(retrieved.join(questions, "qid"), fact_question=T.fact_question(F.col("text")), answer=T.fact_answer(F.col("text")))
+    rows = rows.filter(F.col("answer").isNotNull() & F.col("fact_question").isNotNull())
+    kinds = once(rows, wanted=classify.question_kind(F.col("question")), offered=classify.question_kind(F.col("fact_question")))
+    fit = kinds.filter(classify.compatible(F.col("wanted"), F.col("offered")))
     best = fit.groupBy("qid").agg(F.min_by(F.struct("answer", "score"), "rank").alias("b"))
     return best.select("qid", "b.answer", "b.score", (F.col("b.score") >= least).alias("sure"))
 
@@ -86,7 +89,8 @@ def answers(questions: DataFrame, retrieved: DataFrame, *, least: float = 0.25,
     facts = facts_of(retrieved, questions, least=least)
     said = best_sentences(questions, retrieved, limit=limit).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "sentence"))), lambda s: s["sentence"]).alias("s"))
     rows = questions.join(facts.withColumnRenamed("answer", "fact"), "qid", "left").join(said, "qid", "left")
-    text = F.array_join(F.coalesce("s", F.array().cast("array<string>")), " ")
+    rows = once(rows, joined=F.array_join(F.coalesce("s", F.array().cast("array<string>")), " "))
+    text = F.col("joined")
     steps = (
         ("fact", F.when(F.col("sure"), F.col("fact"))),
         ("comparison", compared_option(F.col("question"), text)),
@@ -95,15 +99,17 @@ def answers(questions: DataFrame, retrieved: DataFrame, *, least: float = 0.25,
         ("name", named_answer(F.col("question"), text)),
         ("sentence", T.clean_answer(F.get("s", F.lit(0)))),
     )
-    chosen = F.coalesce(*(F.when(a.isNotNull(), F.struct(a.alias("answer"), F.lit(n).alias("strategy"))) for n, a in steps), F.struct(F.lit("Unknown").alias("answer"), F.lit("none").alias("strategy")))
-    return rows.select("qid", chosen.alias("c")).select("qid", "c.answer", "c.strategy")
+    tried = F.array(*(F.struct(a.alias("answer"), F.lit(n).alias("strategy")) for n, a in (*steps, ("none", F.lit("Unknown")))))
+    chosen = F.get(F.filter(tried, lambda c: c["answer"].isNotNull()), F.lit(0))
+    return rows.select("qid", F.explode(F.array(chosen)).alias("c")).select("qid", "c.answer", "c.strategy")
 
 
 def candidates(questions: DataFrame, retrieved: DataFrame, *, least: float = 0.72) -> DataFrame:
     """(qid, answer, score, source): all rule-based candidates with their fixed priorities, adjusted for the kind."""
     facts = facts_of(retrieved, questions, least=least).filter("sure").join(questions, "qid").select("qid", "question", "answer", (50.0 + F.col("score")).alias("score"), F.lit("fact").alias("source"))
     joined = retrieved.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda r: r["text"]), "\n").alias("text")).join(questions, "qid")
-    kind = classify.fine_kind(F.col("question"))
+    joined = once(joined, kind=classify.fine_kind(F.col("question")))
+    kind = F.col("kind")
     rules = F.array(
         F.struct(compared_option(F.col("question"), F.col("text"), gap=140).alias("answer"), F.lit(40.0).alias("score"), F.lit("comparison").alias("source")),
         F.struct(F.when(kind == "subjects", F.nullif(F.array_join(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Z]\d{2})\b"))), "; "), F.lit(""))).alias("answer"), F.lit(35.0).alias("score"), F.lit("subjects").alias("source")),
@@ -112,8 +118,8 @@ def candidates(questions: DataFrame, retrieved: DataFrame, *, least: float = 0.7
         F.struct(typed_answer(F.col("question"), F.col("text"), kind).alias("answer"), F.lit(30.0).alias("score"), F.lit("numeric").alias("source")),
     )
     ruled = joined.select("qid", "question", F.explode(F.filter(rules, lambda c: c["answer"].isNotNull())).alias("c")).select("qid", "question", "c.answer", "c.score", "c.source")
-    both = facts.unionByName(ruled)
-    return both.select("qid", "answer", F.round(F.col("score") + classify.kind_bonus(F.col("answer"), classify.fine_kind(F.col("question"))), 6).alias("score"), "source")
+    both = once(facts.unionByName(ruled), kind=classify.fine_kind(F.col("question")))
+    return both.select("qid", "answer", F.round(F.col("score") + classify.kind_bonus(F.col("answer"), F.col("kind")), 6).alias("score"), "source")
 
 
 def best_candidate(found: DataFrame) -> DataFrame:
@@ -143,3 +149,30 @@ def context(retrieved: DataFrame, *, most: int = 2_200) -> DataFrame:
     before = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = retrieved.withColumn("before", before).filter(F.col("before") < most).withColumn("part", F.substring("text", F.lit(1), (F.lit(most) - F.col("before")).cast("int")))
     return parts.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "part"))), lambda r: r["part"]), "\n").alias("context"))
+
+
+def model_answers(questions: DataFrame, retrieved: DataFrame, predictions: DataFrame, *, least: float = 0.84) -> DataFrame:
+    """(qid, answer, score): a sure fact, else the model's span of greatest raw x max(0.1, passage score), else any fact, else Unknown.
+
+    predictions has (qid, rank, answer, raw) of an injected reader, a row per passage at most.
+    """
+    facts = facts_of(retrieved, questions, least=least).select("qid", F.col("answer").alias("fact"), F.col("score").alias("fact_score"), "sure")
+    spans = predictions.join(retrieved.select("qid", "rank", "score"), ["qid", "rank"]).filter(F.length(F.trim("answer")) > 0)
+    value = F.round(F.col("raw") * F.greatest(F.lit(0.1), F.col("score")), 6)
+    best = spans.select("qid", "rank", "answer", value.alias("value")).groupBy("qid").agg(F.min_by(F.struct("answer", "value"), F.struct((-F.col("value")).alias("v"), "rank")).alias("b"))
+    rows = questions.select("qid").join(facts, "qid", "left").join(best, "qid", "left")
+    sure = F.coalesce(F.col("sure"), F.lit(False))
+    answer = F.when(sure, F.col("fact")).otherwise(F.coalesce("b.answer", "fact", F.lit("Unknown")))
+    score = F.when(sure, F.col("fact_score")).otherwise(F.coalesce("b.value", "fact_score", F.lit(0.0)))
+    return rows.select("qid", answer.alias("answer"), score.alias("score"))
+
+
+def reranked(questions: DataFrame, retrieved: DataFrame, predictions: DataFrame, *, least: float = 0.72) -> DataFrame:
+    """(qid, answer, score, source): the best of rule candidates and the model's, adjusted for the kind of question.
+
+    predictions has (qid, rank, answer, raw), several rows per passage allowed. Questions without a candidate are left out.
+    """
+    model = predictions.join(retrieved.select("qid", "rank", F.col("score").alias("passage")), ["qid", "rank"]).join(questions, "qid").filter(F.length(F.trim("answer")) > 0)
+    model = once(model, kind=classify.fine_kind(F.col("question")))
+    scored = model.select("qid", "answer", F.round(F.col("raw") * F.greatest(F.lit(0.1), F.col("passage")) + classify.kind_bonus(F.col("answer"), F.col("kind")), 6).alias("score"), F.lit("reader").alias("source"))
+    return best_candidate(candidates(questions, retrieved, least=least).unionByName(scored))

@@ -111,3 +111,22 @@ def corpus(chunks: DataFrame, pairs: DataFrame, *, facts: bool = True) -> DataFr
     latest = taught.groupBy("id").agg(F.max_by(F.struct("question", answer.alias("answer"), "source_title", "source_url"), "updated_at").alias("r"))
     fact = F.concat(F.lit("Question: "), F.col("r.question"), F.lit(" Answer: "), F.col("r.answer"), F.lit("."))
     return passages.unionByName(latest.select(F.col("id").alias("chunk_id"), F.lit("train_fact").alias("source"), F.coalesce("r.source_title", F.lit("")).alias("title"), F.coalesce("r.source_url", F.lit("")).alias("url"), fact.alias("text")))
+
+
+def embedded(texts: DataFrame, encoder, *, key: str = "chunk_id", prefix: str = "", batch: int = 32) -> DataFrame:
+    """(key, embedding array<float>): unit vectors of an injected encoder (list of texts -> matrix), called per batch in tasks.
+
+    The prefix goes before every text, as some models want it for queries and passages. Null texts count as empty.
+    """
+    kind = dict(texts.dtypes)[key]
+
+    def run(parts):
+        for pdf in parts:
+            rows = []
+            for at in range(0, len(pdf), batch):
+                made = np.asarray(encoder([prefix + (t or "") for t in pdf.text[at : at + batch]]), dtype=np.float32)
+                length = np.linalg.norm(made, axis=1, keepdims=True)
+                rows += list(made / np.where(length > 0, length, 1))
+            yield pd.DataFrame({key: pdf[key], "embedding": rows})
+
+    return texts.select(key, "text").mapInPandas(run, f"{key} {kind}, embedding array<float>")

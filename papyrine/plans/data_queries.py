@@ -223,3 +223,24 @@ def priority_documents(table):
     rank = F.when(F.col("category") == "tuition", 0).when(F.col("category") == "admission", 1).when(F.col("category") == "academic_program", 2).otherwise(9)
     top = table("documents").select("doc_id", rank.alias("r")).orderBy("r", "doc_id").limit(100)
     return top.select("doc_id", F.row_number().over(Window.orderBy("r", "doc_id")).cast("long").alias("place"))
+
+
+@query("""SELECT count(*) AS documents, count(DISTINCT lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1))) AS domains, (SELECT list(url ORDER BY url) FROM (SELECT DISTINCT url FROM documents WHERE url IS NOT NULL ORDER BY url LIMIT 800)) AS urls FROM documents""")
+def crawl_manifest(table):
+    return corpus.manifest(table("documents"))
+
+
+@query()
+def refreshed_documents(table):
+    return corpus.refreshed(table("documents"), table("train_qa"))
+
+
+@query()
+def repaired_titles(table):
+    return corpus.repaired_titles(table("documents")).select("doc_id", "title", "category")
+
+
+@query("SELECT id, updated_us, kind, n FROM (SELECT id, epoch_us(updated_at) AS updated_us, 'question' AS kind, len(list_filter(regexp_split_to_array(trim(question, ' '), '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> ''))::INTEGER AS n FROM train_qa WHERE question IS NOT NULL)")
+def question_lengths(table):
+    rows = table("train_qa").filter(F.col("question").isNotNull())
+    return rows.select("id", F.unix_micros("updated_at").alias("updated_us"), F.lit("question").alias("kind"), T.word_count(F.col("question")).alias("n"))

@@ -246,3 +246,34 @@ def chunk_of_answer(table):
 def chunk_of_sentence(table):
     rows = table("train_qa").filter(F.col("evidence").isNotNull()).select("id", "source_id", F.col("evidence").alias("sentence")).distinct()
     return chunking.with_sentence(rows, table("chunks"))
+
+
+def _predictions_of(questions, found):
+    """What a reader would say: the typed answer of each passage, with its length as raw score."""
+    rows = found.join(questions, "qid")
+    said = rows.select("qid", "rank", F.explode(F.array(reader.typed_answer(F.col("question"), F.col("text")))).alias("answer"))
+    return said.filter(F.col("answer").isNotNull()).withColumn("raw", 1.0 / (1 + F.length("answer")))
+
+
+@query()
+def model_answers(table):
+    questions, found = _retrieved(table)
+    return reader.model_answers(questions, found, _predictions_of(questions, found))
+
+
+@query()
+def reranked_answers(table):
+    questions, found = _retrieved(table, 12)
+    return reader.reranked(questions, found, _predictions_of(questions, found))
+
+
+@query()
+def encoded_passages(table):
+    """Passages under an injected encoder, here counts of letters."""
+
+    def encoder(texts):
+        import numpy as np
+
+        return np.array([[t.lower().count(c) for c in "abcdefgh"] for t in texts], dtype=float).reshape(len(texts), 8)
+
+    return retrieval.embedded(table("chunks").select("chunk_id", "text"), encoder, prefix="passage: ")

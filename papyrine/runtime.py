@@ -62,6 +62,16 @@ def sample_of(df: DataFrame, rows: int, key: Column) -> DataFrame:
     return df
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once per row, behind a generator, wherever they are used later.
+
+    Expressions that are merely projected are inlined at each use, which repeats costly ones and may outgrow what code
+    generation can compile.
+    """
+    packed = df.withColumn("_once", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+    return packed.select(*[c for c in df.columns if c not in columns], *(F.col("_once")[n].alias(n) for n in columns))
+
+
 def sized_join(
     left: DataFrame,
     right: DataFrame,
