@@ -32,12 +32,17 @@ def tfidf(passages: DataFrame, *, key: str = "chunk_id") -> DataFrame:
     return raw.join(norms, key).select(key, "term", "idf", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
-def lexical_scores(queries: DataFrame, index: DataFrame, *, qid: str = "qid", key: str = "chunk_id") -> DataFrame:
-    """(qid, key, score): cosine of queries and passages that share a term. Terms outside the index don't count."""
+def query_weights(queries: DataFrame, index: DataFrame, *, qid: str = "qid") -> DataFrame:
+    """(qid, term, q): unit weights of the queries' terms; terms outside the index don't count."""
     asked = queries.select(qid, F.explode(T.terms(F.col("text"))).alias("term")).groupBy(qid, "term").agg(F.count("*").alias("tf"))
     known = asked.join(index.select("term", "idf").distinct(), "term").withColumn("raw", (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(qid)))
-    weighted = known.select(qid, "term", (F.col("raw") / length).alias("q"))
+    return known.select(qid, "term", (F.col("raw") / length).alias("q"))
+
+
+def lexical_scores(queries: DataFrame, index: DataFrame, *, qid: str = "qid", key: str = "chunk_id") -> DataFrame:
+    """(qid, key, score): cosine of all queries and passages that share a term, for later mixing."""
+    weighted = query_weights(queries, index, qid=qid)
     return weighted.join(index.select(key, "term", "weight"), "term").groupBy(qid, key).agg(F.sum(F.col("q") * F.col("weight")).alias("score"))
 
 
@@ -48,9 +53,49 @@ def top_k(scores: DataFrame, k: int, *, qid: str = "qid", key: str = "chunk_id")
     return rounded.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(qid, "rank", key, "score")
 
 
+def lexical_best(queries: DataFrame, index: DataFrame, k: int, *, qid: str = "qid", key: str = "chunk_id", query_block: int = 512, passage_block: int = 8_192) -> DataFrame:
+    """The k best of lexical_scores per query, in blocks of queries and passages.
+
+    Common terms make the number of (query, passage, term) triples explode; here they exist only as numpy sums inside a
+    block, and k rows per query and block are shuffled. Terms travel as 64-bit hashes.
+    """
+    weighted = query_weights(queries, index, qid=qid)
+    nq = max(1, -(-queries.count() // query_block))
+    np_ = max(1, -(-index.select(F.approx_count_distinct(key)).first()[0] // passage_block))
+    left = weighted.select(F.col(qid).alias("q"), F.xxhash64("term").alias("t"), F.col("q").alias("w")).withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(nq)).cast("int")).withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(np_ - 1))))
+    right = index.select(F.col(key).alias("p"), F.xxhash64("term").alias("t"), F.col("weight").alias("w")).withColumn("pb", F.pmod(F.xxhash64("p"), F.lit(np_)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            terms = np.unique(a.t.to_numpy())
+            at = np.minimum(np.searchsorted(terms, b.t.to_numpy()), len(terms) - 1)
+            b = b[terms[at] == b.t.to_numpy()]
+            at = np.searchsorted(terms, b.t.to_numpy())
+            names, place = np.unique(b.p.to_numpy(), return_inverse=True)
+            weight = b.w.to_numpy()
+            for q, own in a.groupby("q") if len(names) else ():
+                wanted = np.zeros(len(terms))
+                wanted[np.searchsorted(terms, own.t.to_numpy())] = own.w.to_numpy()
+                score = np.round(np.bincount(place, weight * wanted[at], len(names)), 6)[::-1]  # greater keys first among equals
+                shared = np.bincount(place, wanted[at] > 0, len(names))[::-1] > 0
+                top = np.argsort(np.where(shared, -score, np.inf), kind="stable")[:k]
+                top = top[shared[top]]
+                out.append(pd.DataFrame({"q": q, "p": names[::-1][top], "score": score[top]}))
+        return pd.concat(out) if out else pd.DataFrame({"q": np.array([], object), "p": np.array([], object), "score": np.zeros(0)})
+
+    types = dict(left.dtypes) | dict(right.dtypes)
+    found = left.groupBy("qb", "pb").cogroup(right.groupBy("qb", "pb")).applyInPandas(best, f"q {types['q']}, p {types['p']}, score double")
+    return top_k(found.select(F.col("q").alias(qid), F.col("p").alias(key), "score"), k, qid=qid, key=key)
+
+
 def search(queries: DataFrame, index: DataFrame, k: int = 8, *, qid: str = "qid", key: str = "chunk_id") -> DataFrame:
-    """top_k of lexical_scores; a query that shares no term with any passage gets the first k passages with score 0."""
-    best = top_k(lexical_scores(queries, index, qid=qid, key=key), k, qid=qid, key=key)
+    """lexical_best; a query that shares no term with any passage gets the first k passages with score 0.
+
+    queries and index should be materialised or cheap, since both are read twice.
+    """
+    index = cut(index)
+    best = cut(lexical_best(queries, index, k, qid=qid, key=key))
     lost = queries.select(qid).join(best.select(qid).distinct(), qid, "left_anti")
     first = index.select(key).distinct().orderBy(key).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(key)))
     fallback = lost.withColumn("_one", F.lit(1)).join(F.broadcast(first.withColumn("_one", F.lit(1))), "_one").select(qid, "rank", key, F.lit(0.0).alias("score"))
@@ -83,7 +128,7 @@ def dense_search(queries: DataFrame, passages: DataFrame, k: int = 8, *, qid: st
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"q": [], "p": [], "score": []})
+            return pd.DataFrame({"q": np.array([], object), "p": np.array([], object), "score": np.zeros(0)})
         b = b.sort_values("p", ascending=False)
         scores = np.round(np.stack(a.v).astype(np.float64) @ np.stack(b.v).astype(np.float64).T, 6)
         at = np.argsort(-scores, axis=1, kind="stable")[:, :k]
