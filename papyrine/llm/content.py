@@ -1,11 +1,12 @@
 """Main content of pages, by ratios over the paths at which their lines stand.
 
 The texts are plain, so the root-to-leaf path of a line is its domain, its leading segment (of a path or menu line)
-and its skeleton: lower-case ASCII without white space, bullets and final colons, digits as 0. Over all documents of a
-domain each path gets the share of pages that hold it, its text length and punctuation per node, and how often it ends
-in a colon. The text ratio of a path is its length, weighted by punctuation, over the share of pages: furniture repeats
-little text on many pages, content puts much text on few. The ratio is fused with the share, and a path under the
-threshold is furniture. Scores are then smoothed along the page: a path line whose leading segment is furniture,
+and its skeleton: lower-case ASCII without white space, bullets and final colons, digits as 0. Over all distinct texts
+of a domain each path gets the share of pages that hold it, its text length and punctuation per node, and how often it
+ends in a colon; a text that is published again counts once. The text of a path is its length, weighted by punctuation:
+furniture repeats little text on many pages, content puts much text on few. The share is divided by the smoothed text,
+and a path that keeps LEAST_SHARE is furniture: a short one needs little more than that share, a long punctuated one a
+multiple of it. Scores are then smoothed along the page: a path line whose leading segment is furniture,
 the lines above the article's own title, and the titles of other pages that follow a furniture heading belong to the
 page. Skeletons keep no letter outside ASCII, so a line garbled by a wrong encoding stays on its path.
 
@@ -29,8 +30,10 @@ DIGITS = re.compile(r"\d+")
 SEPARATOR = re.compile(r"\s[>»|/·]\s|\s{2,}")
 DROPPED = bytes(range(0x21)).replace(b"\n", b"") + b"\x7f"
 BULLETS = "•»+*-> \t\xa0"
-#: A path on this share of a domain's pages is repeated, one of half the share if it is short and unpunctuated.
+#: Least share of a domain's distinct pages, once divided by the text, and least number of them, of a furniture path.
 LEAST_SHARE, LEAST_PAGES = 0.05, 3
+#: Signs, weighted by punctuation, with which a path needs twice the least share.
+LONG_TEXT = 1_000
 #: Share of a repeated path's occurrences with a final colon or arrow from which it heads a list.
 HEAD_COLONS = 0.15
 #: Share of all titles from which their opening words or a run of three words mark a line as a title.
@@ -59,32 +62,39 @@ def leading(line: str) -> str:
 
 
 def path_rows(batches):
-    """(domain, path, pages, chars, signs, colons) of each distinct line of each page."""
+    """(domain, path, weight, chars, signs, colons) of each distinct line of each page."""
     for batch in batches:
-        out: dict[str, list] = {"domain": [], "path": [], "chars": [], "signs": [], "colons": []}
-        for domain, text in zip(batch.column("domain").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        out: dict[str, list] = {"domain": [], "path": [], "weight": [], "chars": [], "signs": [], "colons": []}
+        for domain, text, copies in zip(*(batch.column(c).to_pylist() for c in ("domain", "text", "copies")), strict=True):
             seen = set()
             for line, skeleton in zip(text.split("\n"), skeletons(text), strict=True):
                 if skeleton and skeleton not in seen:
                     seen.add(skeleton)
                     out["domain"].append(domain)
                     out["path"].append(signed(xxh3_64_intdigest(skeleton)))
+                    out["weight"].append(1 / (copies or 1))
                     out["chars"].append(len(line))
                     out["signs"].append(skeleton.count(b".") + skeleton.count(b",") + skeleton.count(b";") + skeleton.count(b"?"))
                     out["colons"].append(line.rstrip().endswith((":", "»")))
-        kinds = {"domain": pa.string(), "path": pa.int64(), "chars": pa.int32(), "signs": pa.int32(), "colons": pa.bool_()}
+        kinds = {"domain": pa.string(), "path": pa.int64(), "weight": pa.float64(), "chars": pa.int32(), "signs": pa.int32(), "colons": pa.bool_()}
         yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in kinds.items()], names=list(kinds))
 
 
 def path_ratios(docs: DataFrame) -> DataFrame:
-    """(domain, path, pages, share, ratio, colons) of every path on at least LEAST_PAGES pages."""
-    pages = docs.filter(not_blank(F.col("text"))).select("domain", "text")
-    rows = pages.mapInArrow(path_rows, "domain string, path long, chars int, signs int, colons boolean")
-    totals = pages.groupBy("domain").agg(F.count("*").alias("domain_pages"))
-    sums = rows.groupBy("domain", "path").agg(F.count("*").alias("pages"), F.avg("chars").alias("chars"), F.avg("signs").alias("signs"), F.avg(F.col("colons").cast("int")).alias("colons"))
+    """(domain, path, pages, share, fused, colons) of every path on at least LEAST_PAGES distinct pages.
+
+    Each of n equal texts of a domain counts 1 / n; only the hashes of texts that come again are joined.
+    """
+    pages = docs.filter(not_blank(F.col("text"))).select("domain", "text", F.xxhash64("domain", "text").alias("h"))
+    counts = pages.groupBy("domain", "h").agg(F.count("*").alias("copies"))
+    again = cut(counts.filter("copies > 1").select("h", "copies"))
+    weighed = sized_join(pages, again, ["h"], "left", salt_by=F.col("h"))
+    rows = weighed.select("domain", "text", "copies").mapInArrow(path_rows, "domain string, path long, weight double, chars int, signs int, colons boolean")
+    totals = counts.groupBy("domain").agg(F.count("*").alias("domain_pages"))
+    sums = rows.groupBy("domain", "path").agg(F.round(F.sum("weight"), 6).alias("pages"), F.avg("chars").alias("chars"), F.avg("signs").alias("signs"), F.avg(F.col("colons").cast("int")).alias("colons"))
     share = F.col("pages") / F.col("domain_pages")
-    ratio = F.col("chars") * (1 + F.col("signs")) / (share * 100)
-    return sums.filter(F.col("pages") >= LEAST_PAGES).join(totals, "domain").select("domain", "path", "pages", share.alias("share"), ratio.alias("ratio"), "colons")
+    fused = share / (1 + F.col("chars") * (1 + F.col("signs")) / LONG_TEXT)
+    return sums.filter(F.col("pages") >= LEAST_PAGES).join(totals, "domain").select("domain", "path", "pages", share.alias("share"), fused.alias("fused"), "colons")
 
 
 def furniture_paths(docs: DataFrame) -> DataFrame:
@@ -92,8 +102,7 @@ def furniture_paths(docs: DataFrame) -> DataFrame:
 
     A domain can have at most its mean number of lines divided by the least share of them.
     """
-    ratios = path_ratios(docs)
-    kept = ratios.filter(F.col("share") >= LEAST_SHARE)
+    kept = path_ratios(docs).filter(F.col("fused") >= LEAST_SHARE)
     return kept.groupBy("domain").agg(F.collect_list("path").alias("paths"), F.collect_list(F.when(F.col("colons") >= HEAD_COLONS, F.col("path"))).alias("heads"))
 
 

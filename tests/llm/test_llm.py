@@ -135,6 +135,19 @@ def test_main_content(spark):
     assert text[5].split("\n")[0] == f"Report on {topic(5)}, 2020" and len(text[5].split("\n")) == 2
 
 
+def test_recurring_body_is_not_furniture(spark):
+    long = "The council of the faculty met in spring; it discussed the timetable, the rooms, and the library, and it agreed on a new plan for all courses. Who wants to read it, finds it at the office."
+
+    def text(i):
+        return page(i) + (f"\n{long}" if i < 5 else "")  # a paragraph on 8 % of the pages
+
+    texts = [text(i) for i in range(60)] + ["Ours alone\nA short line of it"] * 9
+    docs = spark.createDataFrame([(i, None, f"u{i}", "a.example", "web_source_text", "en", "en", "2025", x) for i, x in enumerate(texts)], DOCS)
+    got = {(r.doc_id, r.line_no) for r in content.furniture_lines(docs).collect()}
+    assert all((i, 9) not in got for i in range(5)) and all((i, n) in got for i in range(60) for n in (0, 1, 8))
+    assert not any(i >= 60 for i, _ in got)  # one text published nine times
+
+
 def test_content_of_edge_rows(spark, edge):
     assert content.furniture_lines(edge).filter("doc_id < 4").count() == 0
     assert content.main_text(edge).count() == edge.count() and content.main_text(empty(spark, DOCS)).count() == 0
