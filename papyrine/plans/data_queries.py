@@ -126,7 +126,7 @@ def crawl_order(table):
 
 
 def _sentences(table):
-    docs = table("documents").filter(F.col("text").isNotNull() & (F.col("source_type") != "web_source_text"))
+    docs = table("documents").filter(F.col("text").isNotNull())
     rows = docs.select("doc_id", "source_language", F.posexplode(T.long_sentences(F.col("text"))).alias("pos", "sentence"))
     return rows.filter(T.sentence_letters_ok(F.col("sentence")))
 
