@@ -146,6 +146,50 @@ def hybrid(dense: DataFrame, lexical: DataFrame, k: int = 12, *, weight: float =
     return top_k(both.select(qid, key, score.alias("score")), k, qid=qid, key=key)
 
 
+def hybrid_search(queries: DataFrame, passages: DataFrame, index: DataFrame, k: int = 12, *, weight: float = 0.70, qid: str = "qid", key: str = "chunk_id", column: str = "embedding", query_block: int = 512, passage_block: int = 8_192) -> DataFrame:
+    """(qid, rank, key, score): weight x inner product + (1 - weight) x lexical score, over all passages.
+
+    queries have (qid, text, column), passages (key, column), index is the passages' tfidf(). Both scores of every query
+    and passage are added inside a pair of blocks, which keeps the k best sums; neither side is cut before. A text
+    without known terms has lexical score 0. All three should be materialised, since they are read more than once.
+    """
+
+    def listed(rows: DataFrame, by: str, value: str) -> DataFrame:
+        pairs = F.collect_list(F.struct(F.xxhash64("term").alias("t"), F.col(value).alias("w")))
+        return rows.groupBy(by).agg(pairs.alias("x")).select(by, F.col("x.t").alias("t"), F.col("x.w").alias("w"))
+
+    nq = max(1, -(-queries.count() // query_block))
+    np_ = max(1, -(-passages.count() // passage_block))
+    asked = queries.select(qid, column).join(listed(query_weights(queries, index, qid=qid), qid, "q"), qid, "left")
+    stored = passages.select(key, column).join(listed(index, key, "weight"), key, "left")
+    left = asked.select(F.col(qid).alias("q"), F.col(column).alias("v"), "t", "w").withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(nq)).cast("int")).withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(np_ - 1))))
+    right = stored.select(F.col(key).alias("p"), F.col(column).alias("v"), "t", "w").withColumn("pb", F.pmod(F.xxhash64("p"), F.lit(np_)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"q": np.array([], object), "p": np.array([], object), "score": np.zeros(0)})
+        b = b.sort_values("p", ascending=False, ignore_index=True)
+        scores = weight * (np.stack(a.v).astype(np.float64) @ np.stack(b.v).astype(np.float64).T)
+        known, held = a.t.notna().to_numpy(), b[b.t.notna()]
+        if known.any() and len(held):
+            terms = np.unique(np.concatenate(a.t[known].to_list()))
+            place, t, w = np.repeat(held.index.to_numpy(), held.t.map(len)), np.concatenate(held.t.to_list()), np.concatenate(held.w.to_list())
+            at = np.minimum(np.searchsorted(terms, t), len(terms) - 1)
+            hit = terms[at] == t
+            place, at, w = place[hit], at[hit], w[hit]
+            for i in np.flatnonzero(known):
+                wanted = np.zeros(len(terms))
+                wanted[np.searchsorted(terms, a.t.iloc[i])] = a.w.iloc[i]
+                scores[i] += (1 - weight) * np.bincount(place, w * wanted[at], len(b))
+        scores = np.round(scores, 6)
+        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({"q": np.repeat(a.q.to_numpy(), top.shape[1]), "p": b.p.to_numpy()[top.ravel()], "score": np.take_along_axis(scores, top, 1).ravel()})
+
+    types = dict(left.dtypes) | dict(right.dtypes)
+    found = left.groupBy("qb", "pb").cogroup(right.groupBy("qb", "pb")).applyInPandas(best, f"q {types['q']}, p {types['p']}, score double")
+    return top_k(found.select(F.col("q").alias(qid), F.col("p").alias(key), "score"), k, qid=qid, key=key)
+
+
 def corpus(chunks: DataFrame, pairs: DataFrame, *, facts: bool = True) -> DataFrame:
     """(chunk_id, source, title, url, text): the chunks and, if asked, one fact per training pair with an answer."""
     passages = chunks.select("chunk_id", F.lit("corpus_chunk").alias("source"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("url", F.lit("")).alias("url"), F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))).alias("text"))

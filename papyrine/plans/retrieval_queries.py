@@ -80,6 +80,7 @@ l AS (SELECT a.vec_id AS qid, b.vec_id AS chunk_id, 1.0 / (1 + abs(a.vec_id - b.
 s AS (SELECT qid, chunk_id, round(0.7 * coalesce(d.score, 0) + (1 - 0.7) * coalesce(l.score, 0), 6) AS score FROM d FULL JOIN l USING (qid, chunk_id))
 SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id DESC)::INTEGER AS rank, chunk_id, score FROM s QUALIFY rank <= 12""")
 def hybrid_topk(table):
+    """Fusion of two given lists of scores, cut as the SQL states; hybrid_search is the search over all passages."""
     vectors = table("embeddings")
     asked = vectors.filter(F.col("vec_id") % 50 == 0)
     dense = retrieval.dense_search(asked.withColumnRenamed("vec_id", "qid"), vectors, 50).select("qid", F.col("vec_id").alias("chunk_id"), "score")
@@ -267,13 +268,23 @@ def reranked_answers(table):
     return reader.reranked(questions, found, _predictions_of(questions, found))
 
 
+def _letters(texts):
+    """An encoder: counts of letters."""
+    import numpy as np
+
+    return np.array([[t.lower().count(c) for c in "abcdefgh"] for t in texts], dtype=float).reshape(len(texts), 8)
+
+
 @query()
 def encoded_passages(table):
     """Passages under an injected encoder, here counts of letters."""
+    return retrieval.embedded(table("chunks").select("chunk_id", "text"), _letters, prefix="passage: ")
 
-    def encoder(texts):
-        import numpy as np
 
-        return np.array([[t.lower().count(c) for c in "abcdefgh"] for t in texts], dtype=float).reshape(len(texts), 8)
-
-    return retrieval.embedded(table("chunks").select("chunk_id", "text"), encoder, prefix="passage: ")
+@query()
+def hybrid_search(table):
+    """The best passages by dense and lexical scores together, over all passages, with counts of letters as vectors."""
+    passages, questions = cut(_corpus(table).select("chunk_id", "text")), _questions(table)
+    vectors = cut(retrieval.embedded(passages, _letters, prefix="passage: "))
+    asked = cut(questions.select("qid", "text").join(retrieval.embedded(questions.select("qid", "text"), _letters, key="qid", prefix="query: "), "qid"))
+    return retrieval.hybrid_search(asked, vectors, cut(retrieval.tfidf(passages)), 12)

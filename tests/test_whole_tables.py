@@ -1,7 +1,9 @@
 """Queries and operators that must leave no part of their input out."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from papyrine.operators import retrieval
 from papyrine.plans import data_queries
 
 
@@ -12,3 +14,26 @@ def test_sentences_of_every_source_type(spark):
         assert {r.doc_id for r in query({"documents": docs}.get).collect()} == {0, 1, 2}
     pairs = data_queries.generated_pairs({"documents": docs}.get).count()
     assert data_queries.capped_pairs({"documents": docs}.get).agg(F.sum("pairs")).first()[0] == pairs
+
+
+def test_hybrid_search_equals_full_fusion(spark):
+    rng = np.random.default_rng(4)
+    words = [f"word{i}" for i in range(30)]
+    texts = [(f"c{i:03d}", " ".join(rng.choice(words, 6)) if i else "§") for i in range(120)]
+    asked = [("q1", "word1 word2 word3"), ("q2", "§ §"), ("q3", "word9 unknown")]
+    pv, qv = ({k: rng.normal(size=8).round(3).tolist() for k, _ in rows} for rows in (texts, asked))
+    passages = spark.createDataFrame(texts, "chunk_id string, text string")
+    vectors = spark.createDataFrame(list(pv.items()), "chunk_id string, embedding array<double>")
+    queries = spark.createDataFrame([(k, t, qv[k]) for k, t in asked], "qid string, text string, embedding array<double>")
+    index = retrieval.tfidf(passages)
+    lexical = {(r.qid, r.chunk_id): r.score for r in retrieval.lexical_scores(queries, index).collect()}
+    want = {}
+    for q in qv:
+        scores = sorted(((round(0.7 * float(np.dot(qv[q], pv[p])) + 0.3 * lexical.get((q, p), 0), 6), p) for p in pv), reverse=True)
+        want |= {(q, n): (p, score) for n, (score, p) in enumerate(scores[:12], 1)}
+    got = {(r["qid"], r["rank"]): (r.chunk_id, r.score) for r in retrieval.hybrid_search(queries, vectors, index, 12, query_block=2, passage_block=25).collect()}
+    assert got.keys() == want.keys() and all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 2e-6 for x in want)
+    # the two lists with the dense one cut, as before, aren't the whole fusion
+    dense = retrieval.dense_search(queries.drop("text"), vectors, 5, key="chunk_id").select("qid", "chunk_id", "score")
+    part = {(r["qid"], r["rank"]): r.chunk_id for r in retrieval.hybrid(dense, retrieval.lexical_scores(queries, index), 12).collect()}
+    assert part != {x: p for x, (p, _) in want.items()}
