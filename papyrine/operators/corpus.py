@@ -114,8 +114,8 @@ def quality_gate(docs: DataFrame, terms: tuple[str, ...], *, least_words: int =
     return docs.filter((T.word_count(F.coalesce("text", F.lit(""))) >= least_words) & classify.relevant(F.col("url"), F.col("text"), terms))
 
 
-def crawl(seeds: DataFrame, pages: DataFrame, *, rounds: int = 3, most: int = 650) -> DataFrame:
-    """(url, depth): breadth-first order over (url, html) pages from seed URLs, at most `most` per level.
+def crawl(seeds: DataFrame, pages: DataFrame, *, rounds: int = 3, most: int | None = 650) -> DataFrame:
+    """(url, depth): breadth-first order over (url, html) pages from seed URLs, at most `most` per level, None for all.
 
     Each level is an anti-join with what was visited and an explode of links; levels are materialised.
     """
@@ -123,7 +123,8 @@ def crawl(seeds: DataFrame, pages: DataFrame, *, rounds: int = 3, most: int = 65
     visited = frontier
     for depth in range(1, rounds + 1):
         found = frontier.join(pages, "url").select(F.explode(html.links(F.col("html"), F.col("url"))).alias("url")).distinct()
-        frontier = cut(found.join(visited.select("url"), "url", "left_anti").orderBy("url").limit(most).withColumn("depth", F.lit(depth)))
+        fresh = found.join(visited.select("url"), "url", "left_anti")
+        frontier = cut((fresh if most is None else fresh.orderBy("url").limit(most)).withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         visited = cut(visited.unionByName(frontier))

@@ -122,7 +122,7 @@ def crawl_order(table):
     seeds = docs.select(F.concat(F.lit("https://"), F.col("domain"), F.lit("/")).alias("url")).distinct()
     anchors = docs.groupBy("domain").agg(F.array_join(F.transform(F.array_sort(F.collect_list("url")), lambda u: F.concat(F.lit("<a href='"), u, F.lit("'>x</a>"))), "").alias("html"))
     pages = anchors.select(F.concat(F.lit("https://"), F.col("domain"), F.lit("/")).alias("url"), "html")
-    return corpus.crawl(seeds, pages, rounds=2, most=100_000)
+    return corpus.crawl(seeds, pages, rounds=2, most=None)
 
 
 def _sentences(table):

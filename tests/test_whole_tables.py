@@ -37,3 +37,8 @@ def test_hybrid_search_equals_full_fusion(spark):
     dense = retrieval.dense_search(queries.drop("text"), vectors, 5, key="chunk_id").select("qid", "chunk_id", "score")
     part = {(r["qid"], r["rank"]): r.chunk_id for r in retrieval.hybrid(dense, retrieval.lexical_scores(queries, index), 12).collect()}
     assert part != {x: p for x, (p, _) in want.items()}
+
+
+def test_crawl_order_has_no_limit(spark):
+    made = spark.range(100_200).select(F.format_string("https://a.example/p%06d", "id").alias("url"), F.format_string("%s", F.lit("a.example")).alias("domain"))
+    assert data_queries.crawl_order({"documents": made}.get).count() == 100_201
