@@ -27,7 +27,8 @@ from papyrine.llm.values import YEAR, fold, matter_of, value_of
 from papyrine.runtime import saved
 
 LEAST_JACCARD = 0.8
-BANDS, ROWS = 6, 2
+#: A pair at the least Jaccard similarity shares no band with probability (1 - 0.8 ** ROWS) ** BANDS, 1 in 9,800.
+BANDS, ROWS = 9, 2
 #: Share of records from which a word belongs to the frequent vocabulary: at most words per record / share entries.
 WORD_SHARE = 2e-4
 TOKEN = re.compile(r"[a-z0-9]+")

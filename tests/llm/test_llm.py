@@ -258,6 +258,10 @@ def test_overlaps(spark, folder):
     assert overlap.overlap_pairs(docs.limit(0), sites).count() == 0
 
 
+def test_bands_miss_few_pairs_at_the_least_similarity():
+    assert (1 - overlap.LEAST_JACCARD**overlap.ROWS) ** overlap.BANDS < 1 / 5_400
+
+
 def test_broken_pairs(spark, folder, documents):
     own = table(spark, folder, "train_qa").select(QA.replace(" string", "").replace(" array<string>", "").replace(" timestamp", "").split(", "))
     p = "the master programme in Digital Music Design (history track) at LVUSS0"
