@@ -147,7 +147,7 @@ def pieces(spark, vocabulary: str | None = None) -> DataFrame:
 
 
 def decode(encoded: DataFrame, key: str = "doc_id", *, vocabulary: str | None = None) -> DataFrame:
-    """(key, text): ids joined with the table of pieces and put together by position; the empty list gives ''.
+    """(key, text): ids looked up in the table of pieces and put together by position; the empty list gives ''.
 
     The table is as large as the vocabulary whatever the corpus, so each task gathers from its own copy and no
     occurrence is shuffled.
