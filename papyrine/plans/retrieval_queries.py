@@ -1,4 +1,4 @@
-"""Queries over retrieval, reading and scoring. Stated query sets are the rows whose id number is divisible by 50."""
+"""Queries over retrieval, reading and scoring. Stated query sets are the rows whose id number is divisible by 50, of train_qa those of the test split."""
 
 from __future__ import annotations
 
