@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -164,14 +165,29 @@ def page_parts(text: str, title: str | None, paths: frozenset[int], heads: froze
     return drop
 
 
-def with_furniture(docs: DataFrame, columns: list[str], of: Callable, schema: str) -> DataFrame:
+@dataclass(frozen=True)
+class Furniture:
+    """What a corpus says about its pages: the furniture paths per domain, materialised, and the marks of titles."""
+
+    paths: DataFrame
+    opens: frozenset[str]
+    runs: frozenset[str]
+
+
+def furniture_of(docs: DataFrame) -> Furniture:
+    """The furniture of all web pages of docs; found once, it serves every pass over them or over a part of them."""
+    opens, runs = title_marks(docs)
+    return Furniture(cut(furniture_paths(docs.filter(F.col("source_type") == "web_source_text"))), opens, runs)
+
+
+def with_furniture(docs: DataFrame, columns: list[str], of: Callable, schema: str, furniture: Furniture | None = None) -> DataFrame:
     """Runs of(batch of columns, drop lists) over documents with a text that isn't blank, joined with their domain's paths.
 
     `columns` must hold what `of` needs; text is always there. The furniture of texts that aren't web pages is empty.
+    `furniture` is that of the corpus docs are part of; without it, that of docs.
     """
-    web = docs.filter(F.col("source_type") == "web_source_text")
-    opens, runs = title_marks(docs)
-    paths = cut(furniture_paths(web))
+    furniture = furniture or furniture_of(docs)
+    opens, runs, paths = furniture.opens, furniture.runs, furniture.paths
     names = list(dict.fromkeys([*columns, "text", "title", "domain", "source_type"]))
     rows = sized_join(docs.filter(not_blank(F.col("text"))).select(*names), paths, ["domain"], "left", limit=20_000, salt_by=F.xxhash64("text"))
 
@@ -207,7 +223,7 @@ def furniture_lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return with_furniture(web, [key], rows, f"{key} {dict(docs.dtypes)[key]}, line_no long")
 
 
-def main_text(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def main_text(docs: DataFrame, key: str = "doc_id", *, furniture: Furniture | None = None) -> DataFrame:
     """(key, text, removed_lines): the main body of every document; a null or blank text comes back as it is."""
 
     def rows(batch, drops):
@@ -216,6 +232,6 @@ def main_text(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         ]
         return pa.RecordBatch.from_arrays([batch.column(key), pa.array(texts, pa.string()), pa.array([sum(d) for d in drops], pa.int32())], names=[key, "text", "removed_lines"])
 
-    kept = with_furniture(docs, [key], rows, f"{key} {dict(docs.dtypes)[key]}, text string, removed_lines int")
+    kept = with_furniture(docs, [key], rows, f"{key} {dict(docs.dtypes)[key]}, text string, removed_lines int", furniture)
     blank = docs.filter(~not_blank(F.col("text"))).select(key, "text", F.lit(0).alias("removed_lines"))
     return kept.unionByName(blank)
