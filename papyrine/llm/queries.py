@@ -109,8 +109,7 @@ def p8_decoded(spark, folder):
 
 
 def _packed(spark, folder):
-    ids = tokens.encode(_table(spark, folder, "documents"))
-    return packing.pack(ids.select("doc_id", F.size("ids").alias("size")))
+    return packing.pack(tokens.encode(_table(spark, folder, "documents"), sizes=True))
 
 
 def p9_containers(spark, folder):

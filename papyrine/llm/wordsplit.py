@@ -2,8 +2,8 @@
 
 The rule of the public byte-level tokenizer (contractions; an optional space before a run of letters, of numbers or
 of other signs; white space) depends only on the class of each character and of its neighbours, so word starts come
-from comparing shifted arrays, and every word gets a 64-bit hash by a segmented sum. No Python object is made per
-word; strings are made only for the distinct hashes of a batch.
+from comparing shifted arrays, and every word gets a 64-bit hash by a segmented sum, which finds the distinct words.
+No Python object is made per word; strings are made only for the distinct words of a batch.
 """
 
 from __future__ import annotations
@@ -105,18 +105,29 @@ def split(texts: list[str | None]) -> tuple[str, np.ndarray, np.ndarray, np.ndar
     return joined, starts, ends, np.searchsorted(breaks, starts)
 
 
-def hashes(joined: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A signed 64-bit hash of each word."""
-    if not len(starts):
-        return np.zeros(0, np.int64)
-    code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+def hashes(code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word, and the indexes of all words' characters with their place in their word."""
     widths = ends - starts
-    value = char_hashes()[code]
     offsets = np.cumsum(widths) - widths
     place = np.arange(int(widths.sum()), dtype=np.int64) - np.repeat(offsets, widths)
     inside = np.repeat(starts, widths) + place
     most = int(widths.max())
     with np.errstate(over="ignore"):
-        terms = value[inside] * powers(1 << max(6, (most - 1).bit_length()))[place]
+        terms = char_hashes()[code[inside]] * powers(1 << max(6, (most - 1).bit_length()))[place]
         sums = np.add.reduceat(terms, offsets)
-        return mix(sums ^ widths.astype(np.uint64)).view(np.int64)
+        return mix(sums ^ widths.astype(np.uint64)), inside, place
+
+
+def dictionary(joined: str, starts: np.ndarray, ends: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """(distinct words, place of each word among them). Exact: words of one hash are compared sign by sign."""
+    if not len(starts):
+        return [], np.zeros(0, np.int64)
+    code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    keys, inside, place = hashes(code, starts, ends)
+    _, first, back = np.unique(keys, return_index=True, return_inverse=True)
+    widths, like = ends - starts, first[back]
+    if not (np.array_equal(widths, widths[like]) and np.array_equal(code[inside], code[np.repeat(starts[like], widths) + place])):
+        known: dict[str, int] = {}
+        at = [known.setdefault(joined[s:e], len(known)) for s, e in zip(starts, ends, strict=True)]
+        return list(known), np.array(at)
+    return [joined[starts[i] : ends[i]] for i in first], back

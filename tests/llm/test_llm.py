@@ -54,17 +54,29 @@ def test_split_equals_the_pattern():
         assert got == [find(t or "") for t in texts[a:b]]
 
 
-def test_ids_equal_the_tokenizer(spark, documents, edge):
+def test_ids_equal_the_tokenizer(spark, documents, edge, monkeypatch):
     import tiktoken
 
+    monkeypatch.setattr(tokens, "BLOCK_CHARS", 30_000)
+
     plain = tiktoken.Encoding("plain", pat_str=tokens.PATTERN, mergeable_ranks=tokens.ranks(tokens.vocabulary_path()), special_tokens={})
     for docs in (documents, edge):
         texts = sorted(((r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()))
-        got = sorted((r.doc_id, list(r.ids)) for r in tokens.encode(docs, block_docs=40).collect())
+        got = sorted((r.doc_id, list(r.ids)) for r in tokens.encode(docs).collect())
         assert got == [(k, plain.encode_ordinary(t)) for k, t in texts]
         back = sorted((r.doc_id, r.text) for r in tokens.decode(tokens.encode(docs)).collect())
         assert back == texts
+        assert sorted((r.doc_id, r.size) for r in tokens.encode(docs, sizes=True).collect()) == [(k, len(ids)) for k, ids in got]
     assert tokens.encode(empty(spark, DOCS)).count() == 0
+    odd = spark.createDataFrame([(1, [0, 99_999_999, -3]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in tokens.decode(odd).collect()} == {1: "!", 2: "", 3: ""}
+
+
+def test_words_of_one_hash_stay_apart(monkeypatch):
+    monkeypatch.setattr(wordsplit, "mix", lambda x: x & np.uint64(3))
+    joined, starts, ends, _ = wordsplit.split(["one two three two one", "four one"])
+    words, back = wordsplit.dictionary(joined, starts, ends)
+    assert [words[i] for i in back] == ["one", " two", " three", " two", " one", "four", " one"]
 
 
 # --- packing ---
