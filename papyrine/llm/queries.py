@@ -116,6 +116,11 @@ def p9_containers(spark, folder):
     return _packed(spark, folder)
 
 
+def p9_faults(spark, folder):
+    items = tokens.encode(_table(spark, folder, "documents"), sizes=True)
+    return packing.faults(packing.pack(items), items)
+
+
 def p9_fill(spark, folder):
     return packing.fill_rate(_packed(spark, folder))
 
@@ -174,5 +179,6 @@ joined AS (
   FROM kept GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN j.doc_id IS NULL THEN d.text ELSE j.text END AS text, coalesce(j.removed_lines, 0)::INTEGER AS removed_lines
 FROM documents d LEFT JOIN joined j ON d.doc_id = j.doc_id""",
+        "p9_faults": "SELECT count(*) AS documents, 0::BIGINT AS missing, 0::BIGINT AS overfull, 0::BIGINT AS split FROM documents",
         "p8_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents",
     }

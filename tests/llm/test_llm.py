@@ -1,5 +1,7 @@
 """Small tests of every operator: meaning, nulls, empty and long texts, repeats, empty tables, clashing names."""
 
+import bisect
+import itertools
 import os
 
 import numpy as np
@@ -82,22 +84,47 @@ def test_words_of_one_hash_stay_apart(monkeypatch):
 # --- packing ---
 
 
-def first_fit(sizes, capacity):
+def best_fit(sizes, capacity):
+    """Containers that best-fit decreasing opens."""
     rooms = []
     for s in sorted(sizes, reverse=True):
-        at = next((i for i, r in enumerate(rooms) if r >= s), None)
-        if at is None:
-            rooms.append(capacity - s)
-        else:
-            rooms[at] -= s
+        at = bisect.bisect_left(rooms, s)
+        room = rooms.pop(at) if at < len(rooms) else capacity
+        bisect.insort(rooms, room - s)
     return len(rooms)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_patterns_need_no_more_containers_than_best_fit(seed):
+    rng = np.random.default_rng(seed)
+    capacity = int(rng.choice([100, 500, 2048]))
+    sizes = np.minimum(rng.lognormal(np.log(capacity * 0.3), 0.7, 2_000).astype(int) + 1, capacity)
+    values, counts = np.unique(sizes, return_counts=True)
+    plan = packing.solve(values, counts, capacity)
+    laid = {}
+    for pattern, times in plan:
+        assert sum(s * n for s, n in pattern) <= capacity
+        for s, n in pattern:
+            laid[s] = laid.get(s, 0) + n * times
+    assert laid == dict(zip(values.tolist(), counts.tolist(), strict=True))  # every item stands in a pattern
+    assert sum(n for _, n in plan) <= best_fit(sizes.tolist(), capacity)
+
+
+def test_knapsack_equals_brute_force():
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        sizes, values, most = rng.integers(1, 9, 4), rng.random(4), rng.integers(1, 4, 4)
+        got = packing.knapsack(sizes, values, most, 17)
+        ways = [w for w in itertools.product(*(range(m + 1) for m in most)) if np.dot(w, sizes) <= 17]
+        assert all(n <= most[k] for k, n in got.items()) and sum(sizes[k] * n for k, n in got.items()) <= 17
+        assert abs(sum(values[k] * n for k, n in got.items()) - max(np.dot(w, values) for w in ways)) < 1e-9
+
+
 def test_packing_is_whole_tight_and_within_capacity(spark):
     rng = np.random.default_rng(2)
     sizes = [int(x) for x in np.concatenate([rng.integers(1, 100, 400), np.full(300, 37), [0, 0, 250, 1000]])]
     rows = spark.createDataFrame([(i, s, "x") for i, s in enumerate(sizes)] + [(9999, None, "x")], "doc_id long, size int, container string")
-    got = packing.pack(rows, capacity=100, rounds=60).collect()
+    got = packing.pack(rows, capacity=100).collect()
     load, per = {}, {}
     for r in got:
         per[r.doc_id] = per.get(r.doc_id, 0) + r.size
@@ -106,7 +133,7 @@ def test_packing_is_whole_tight_and_within_capacity(spark):
             load[r.container] = load.get(r.container, 0) + r.size
     assert max(load.values()) <= 100 and per == {**dict(enumerate(sizes)), 9999: 0}
     assert all(sum(1 for r in got if r.doc_id == i) == 1 for i, s in enumerate(sizes) if s <= 100)
-    assert len(load) <= first_fit([min(100, s - k) for s in sizes for k in range(0, s, 100)], 100)
+    assert len(load) <= best_fit([min(100, s - k) for s in sizes for k in range(0, s, 100)], 100)
     assert packing.pack(empty(spark, "doc_id long, size int")).count() == 0
 
 
