@@ -5,6 +5,10 @@ first day. A line is counted over clusters and days as well as over members, so
 member count of its lines but not their cluster count. Counting goes in three steps with partial aggregation
 (line, cluster), (line, day), (line), so that one hot domain or line is never gathered in one task.
 
+`occurrences` reports lines by their members, as the definition of its cases says. `boilerplate_lines` and
+`without_repeated` decide by clusters and days: a line must stand in enough different documents, published on more than
+one day, so that an article which is published again keeps its lines.
+
 Null, empty and blank texts have no lines; a null domain is a domain of its own (none of its lines is ever frequent).
 A line counts once per document; each of its occurrences is reported.
 """
@@ -12,6 +16,7 @@ A line counts once per document; each of its occurrences is reported.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +41,10 @@ def comparable(text: str) -> list[str]:
     return [" ".join(line.split()) for line in DIGITS.sub("0", text.lower()).split("\n")]
 
 
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def hash_lines(batches):
     """Adds to each text the 64-bit hashes of its comparable lines, null for a blank one.
 
@@ -79,29 +88,73 @@ def repeated_lines(rows: DataFrame, *, least_docs: int = 8, least_share: float =
     return counts.join(totals, "domain").filter(F.col("n_docs") >= F.col("domain_docs") * least_share)
 
 
-def by_domain(repeated: DataFrame) -> DataFrame:
-    return repeated.groupBy("domain").agg(F.collect_set("line").alias("repeated"))
+def boilerplate_lines(rows: DataFrame, *, least_clusters: int = 8, least_share: float = 0.10, least_days: int = 2) -> DataFrame:
+    """The counts of lines in at least least_clusters distinct documents and least_share of their domain's, on least_days days.
+
+    Where none of a line's documents has a day, the days don't count.
+    """
+    totals = rows.select("domain", "cluster").distinct().groupBy("domain").agg(F.count("*").alias("domain_clusters"))
+    counts = line_counts(rows).filter((F.col("n_clusters") >= least_clusters) & ((F.col("n_days") >= least_days) | (F.col("n_days") == 0)))
+    return counts.join(totals, "domain").filter(F.col("n_clusters") >= F.col("domain_clusters") * least_share)
 
 
-def _with_repeated(docs: DataFrame, key: str, least_docs: int, least_share: float) -> DataFrame:
-    rows = hashed(docs, key)
-    sets = cut(by_domain(repeated_lines(rows, least_docs=least_docs, least_share=least_share)))
-    return sized_join(rows.select(key, "domain", "lines"), sets, ["domain"], limit=20_000, salt_by=F.xxhash64(key))
+#: Longs that all domains' sets may have together to be broadcast: 16 MB as sent.
+SET_LONGS = 2_000_000
+
+
+def per_domain(rows: DataFrame, sets: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, Callable]:
+    """Brings arrays of longs per domain to the rows of each domain, whose column is `domain`.
+
+    `sets` (domain, one array per name) should be materialised. If the arrays are small together they are broadcast as
+    one dictionary, else they are joined to the rows. Returns the rows to map over and a function that gives, of a
+    batch, the function (domain, row number) -> tuple of frozensets, empty for a domain without sets.
+    """
+    size = sets.agg(F.sum(sum((F.size(n) for n in names), F.lit(8)))).first()[0] or 0
+    none = tuple(frozenset() for _ in names)
+    if size <= SET_LONGS:
+        shared = rows.sparkSession.sparkContext.broadcast({r.domain: tuple(frozenset(r[n]) for n in names) for r in sets.collect()})
+        return rows, lambda batch: lambda domain, i: shared.value.get(domain, none)
+    keyed = rows.withColumn("_domain", F.coalesce("domain", F.lit("")))
+    named = sets.select(F.col("domain").alias("_domain"), *(F.col(n).alias(f"_{n}") for n in names))
+    joined = sized_join(keyed, named, ["_domain"], "left", limit=0, salt_by=F.xxhash64("text")).drop("_domain")
+
+    def of_batch(batch):
+        columns, kept = [batch.column(f"_{n}") for n in names], {}
+
+        def of(domain, i):
+            if domain not in kept:
+                kept[domain] = tuple(frozenset(c[i].as_py() or ()) for c in columns)
+            return kept[domain]
+
+        return of
+
+    return joined, of_batch
 
 
 def occurrences(docs: DataFrame, *, key: str = "doc_id", least_docs: int = 8, least_share: float = 0.10) -> DataFrame:
     """(key, line_no) of every occurrence of a repeated line; line_no counts from 0."""
-    found = _with_repeated(docs, key, least_docs, least_share)
-    marks = found.select(key, "repeated", F.posexplode("lines").alias("line_no", "line"))
-    return marks.filter(F.array_contains("repeated", F.col("line"))).select(key, F.col("line_no").cast("long").alias("line_no"))
-
-
-def without_repeated(docs: DataFrame, *, key: str = "doc_id", least_docs: int = 8, least_share: float = 0.10) -> DataFrame:
-    """(key, text, removed_lines): every text without its repeated lines; null stays null. The key must be unique."""
-    found = _with_repeated(docs, key, least_docs, least_share)
-    flags = F.transform("lines", lambda x: F.coalesce(F.array_contains("repeated", x), F.lit(False)))
-    marked = found.select(key, flags.alias("drop"))
-    rows = docs.select(key, "text").join(marked, key, "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.get("drop", i))
-    text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return rows.select(key, text.alias("text"), F.coalesce(F.size(F.filter("drop", lambda d: d)), F.lit(0)).alias("removed_lines"))
+    rows = hashed(docs, key)
+    repeated = cut(repeated_lines(rows, least_docs=least_docs, least_share=least_share).select("domain", "line"))
+    marks = rows.select(key, "domain", F.posexplode("lines").alias("line_no", "line")).filter(F.col("line").isNotNull())
+    return sized_join(marks, repeated, ["domain", "line"], "left_semi", salt_by=F.xxhash64(key)).select(key, F.col("line_no").cast("long").alias("line_no"))
+
+
+def without_repeated(docs: DataFrame, *, key: str = "doc_id", least_clusters: int = 8, least_share: float = 0.10, least_days: int = 2) -> DataFrame:
+    """(key, text, removed_lines): every text without its domain's boilerplate lines; null and blank texts come back as they are."""
+    found = boilerplate_lines(hashed(docs, key), least_clusters=least_clusters, least_share=least_share, least_days=least_days)
+    sets = cut(found.filter(F.col("domain").isNotNull()).groupBy("domain").agg(F.collect_list("line").alias("lines")))
+    rows, sets_of = per_domain(docs.filter(not_blank(F.col("text"))).select(key, "domain", "text"), sets, ("lines",))
+
+    def run(batches):
+        for batch in batches:
+            texts, removed, of_domain = [], [], sets_of(batch)
+            for i, (domain, text) in enumerate(zip(batch.column("domain").to_pylist(), batch.column("text").to_pylist(), strict=True)):
+                (hit,) = of_domain(domain, i)
+                own = text.split("\n")
+                kept = [x for x, c in zip(own, comparable(text), strict=True) if not (c and signed(xxh3_64_intdigest(c)) in hit)] if hit else own
+                texts.append("\n".join(kept))
+                removed.append(len(own) - len(kept))
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(texts, pa.string()), pa.array(removed, pa.int32())], names=[key, "text", "removed_lines"])
+
+    clean = rows.mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, text string, removed_lines int")
+    return clean.unionByName(docs.filter(~not_blank(F.col("text"))).select(key, "text", F.lit(0).alias("removed_lines")))

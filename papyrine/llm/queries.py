@@ -19,8 +19,8 @@ def p4_found(spark, folder):
 
 
 def p4_lines(spark, folder):
-    found = lines.repeated_lines(lines.hashed(_table(spark, folder, "documents"), "doc_id"))
-    return found.select("domain", "n_docs", "n_clusters", "n_days", "domain_docs")
+    found = lines.boilerplate_lines(lines.hashed(_table(spark, folder, "documents"), "doc_id"))
+    return found.select("domain", "n_docs", "n_clusters", "n_days", "domain_clusters")
 
 
 def p4_clean(spark, folder):
@@ -35,6 +35,10 @@ def p5_main_text(spark, folder):
     return content.main_text(_table(spark, folder, "documents"))
 
 
+def p5_html_nodes(spark, folder):
+    return content.html_nodes(_table(spark, folder, "fetched_resources").filter(F.col("content_type").contains("html")))
+
+
 def p3_found(spark, folder):
     return language.mislabelled(_table(spark, folder, "documents"))
 
@@ -166,14 +170,26 @@ repeated AS (
   WHERE n_docs >= 8 AND n_docs >= domain_docs * 0.10)
 """
 
+_P4_CLEAN = (
+    _P4
+    + """, clusters AS (SELECT domain, count(DISTINCT md5(text)) AS domain_clusters FROM texts GROUP BY domain),
+firsts AS (SELECT domain, line, md5(text) AS cluster, count(DISTINCT doc_id) AS n, min(substring(collected_at, 1, 10)) AS day FROM split_lines WHERE line <> '' GROUP BY ALL),
+boilerplate AS (
+  SELECT f.domain, f.line, sum(f.n)::BIGINT AS n_docs, count(*) AS n_clusters, count(DISTINCT f.day) AS n_days, any_value(c.domain_clusters) AS domain_clusters
+  FROM firsts f JOIN clusters c USING (domain) GROUP BY f.domain, f.line
+  HAVING count(*) >= 8 AND count(*) >= any_value(c.domain_clusters) * 0.10 AND count(DISTINCT f.day) <> 1)
+"""
+)
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": _P4 + "SELECT s.doc_id, s.line_no::BIGINT AS line_no FROM split_lines s JOIN repeated r ON s.domain = r.domain AND s.line = r.line",
-        "p4_clean": _P4
+        "p4_lines": _P4_CLEAN + "SELECT domain, n_docs, n_clusters, n_days, domain_clusters FROM boilerplate",
+        "p4_clean": _P4_CLEAN
         + """, kept AS (
   SELECT s.doc_id, string_split(s.text, chr(10))[s.line_no + 1] AS raw, s.line_no, r.line AS hit
-  FROM split_lines s LEFT JOIN repeated r ON s.domain = r.domain AND s.line = r.line),
+  FROM split_lines s LEFT JOIN boilerplate r ON s.domain = r.domain AND s.line = r.line),
 joined AS (
   SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (hit IS NULL), '') AS text, count(hit)::INTEGER AS removed_lines
   FROM kept GROUP BY doc_id)

@@ -156,6 +156,24 @@ def test_lines_of_edge_rows(spark, edge):
     assert {r.doc_id: r.removed_lines for r in lines.without_repeated(edge.dropDuplicates(["doc_id"])).collect()} == dict.fromkeys(range(1, 6), 0)
 
 
+def test_republished_articles_keep_their_lines(spark):
+    day = lambda i: f"2025-01-{i % 28 + 1:02d}"
+    article = "The one article\nthat everybody prints"
+    rows = [(i, None, None, "d", None, None, None, day(i), article) for i in range(30)]
+    rows += [(100 + i, None, None, "d", None, None, None, day(i), f"Text {chr(97 + i)}\nLegal notice {i}") for i in range(12)]
+    rows += [(200 + i, None, None, "d", None, None, None, day(3), f"Other {chr(97 + i)}\nProgramme of the open day") for i in range(12)]
+    docs = spark.createDataFrame(rows, DOCS)
+    found = {r.doc_id: r.removed_lines for r in lines.without_repeated(docs).collect()}
+    assert all(n == (1 if 100 <= i < 200 else 0) for i, n in found.items())
+    assert lines.occurrences(docs).filter("doc_id < 30").count() == 60  # the cases are defined over documents
+
+
+def test_sets_per_domain_are_joined_beyond_the_bound(spark, documents, monkeypatch):
+    want = {(r.doc_id, r.line_no) for r in content.furniture_lines(documents).collect()}
+    monkeypatch.setattr(lines, "SET_LONGS", 0)
+    assert {(r.doc_id, r.line_no) for r in content.furniture_lines(documents).collect()} == want and want
+
+
 def topic(i):
     return f"{chr(97 + i // 26)}{chr(97 + i % 26)}zu"
 
@@ -187,6 +205,38 @@ def test_recurring_body_is_not_furniture(spark):
     assert not any(i >= 60 for i, _ in got)  # one text published nine times
 
 
+def test_pooled_share_knows_rare_furniture_and_spares_chance(spark):
+    def text(site, i):
+        tail = ["Write to the help desk of the house"] if site < 4 or i < 1 else []
+        return "\n".join([f"The {topic(i + 40 * site)} of {topic(i + 7)} was read aloud, and {topic(i + 9)} came next; all agreed."] + tail)
+
+    rows = [(100 * s + i, None, f"u{s}-{i}", f"site{s}.example", "web_source_text", "en", "en", "2025", text(s, i)) for s in range(5) for i in range(40)]
+    got = {(r.doc_id, r.line_no) for r in content.furniture_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert (400, 1) in got and (0, 1) in got and not any(n == 0 for _, n in got)
+
+
+def test_text_ratio_decides_between_paths_of_one_share(spark):
+    long = "The council met in spring; it discussed rooms, books, and dates, and it agreed on a plan, a budget, and a date for the next session, as it does every year. Who wants to read it, finds it at the office."
+    docs = spark.createDataFrame([(i, None, f"u{i}", "a.example", "web_source_text", "en", "en", "2025", f"{topic(i)} text of its own, with words.\n" + (f"{long}\nSend to print" if i < 6 else "")) for i in range(60)], DOCS)
+    ratios = {r.path: r for r in content.path_ratios(docs).collect()}
+    assert len({r.share for r in ratios.values()}) == 1 and len(ratios) == 2  # both stand on a tenth of the pages
+    assert {(r.doc_id, r.line_no) for r in content.furniture_lines(docs).collect()} == {(i, 2) for i in range(6)}
+
+
+def test_tag_paths_of_html(spark):
+    def html(i):
+        menu = "".join(f"<li><a href=/{k}>{k}</a></li>" for k in ("Home", "News", "Staff"))
+        body = f"<h1>On {topic(i)}</h1><div><p>The survey of {topic(i)}, which ran for weeks, says yes; it was read by many, and it was liked.<br>It goes on, and on.</p><p>Then {topic(i + 1)} came up, was discussed, and was put off.</p></div>"
+        return f"<html><head><title>T</title><style>p {{}}</style></head><body><ul>{menu}</ul>{body}<script>x</script><p2>Imprint</p2></body></html>".encode("utf-16" if i == 1 else "utf-8")
+
+    rows = [(f"http://a.example/{i}", "text/html" + ("; charset=utf-16" if i == 1 else "; charset=nonsense" if i == 2 else ""), html(i)) for i in range(8)] + [("http://a.example/x", None, None), (None, None, b"<p>alone"), ("http://a.example/0", "text/html", html(0))]
+    got = content.html_nodes(spark.createDataFrame(rows, "url string, content_type string, body binary")).collect()
+    for i in (0, 1, 2):
+        kept = [r.text for r in sorted(got, key=lambda r: r.node_no) if r.url == f"http://a.example/{i}" and r.content]
+        assert kept[0] == f"On {topic(i)}" and len(kept) == 4 and not {"Home", "News", "Staff", "Imprint"} & set(kept)
+    assert [r.content for r in got if r.url is None] == [True] and not any("x" == r.text for r in got)
+
+
 def test_content_of_edge_rows(spark, edge):
     assert content.furniture_lines(edge).filter("doc_id < 4").count() == 0
     assert content.main_text(edge).count() == edge.count() and content.main_text(empty(spark, DOCS)).count() == 0
