@@ -36,8 +36,10 @@ SPELLINGS = {
 BUCKETS, DIMENSIONS = 1 << 15, 12
 #: Bound of the sample the model is fitted on; documents with the smallest hashes are taken.
 SAMPLE_DOCS = 1_500
-#: Characters from which a line is a paragraph, and the share of a body that a further language must have.
-PARAGRAPH, FURTHER_SHARE = 60, 0.09
+#: Bound of the lines that one sampled document gives to training, so that long ones don't outweigh the rest.
+SAMPLE_LINES = 12
+#: Characters from which a line is a paragraph; length and confidence from which one alone tells a further language.
+PARAGRAPH, SURE_LENGTH, SURE = 60, 80, 0.9
 
 
 def label_of(label: Column) -> Column:
@@ -139,14 +141,17 @@ def clean(lines: list[str], labels: list[int], groups: list[int]) -> tuple[list[
     return [lines[i] for i in kept], [labels[i] for i in kept]
 
 
-def fit(docs: DataFrame, key: str = "doc_id", *, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Trains on the lines of about sample_docs documents whose labels agree, chosen by hash."""
+def fit(docs: DataFrame, key: str = "doc_id", *, sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> Model:
+    """Trains on up to sample_lines lines, spread over the text, of each of about sample_docs documents whose labels agree, chosen by hash."""
     said, also = label_of(F.col("source_language")), label_of(F.col("lang"))
-    agreed = docs.filter(not_blank(F.col("text")) & (said == also) & (said != "mixed") & (F.length("text") < 20_000))
-    rows = sample_of(agreed, sample_docs, F.col(key)).select(said.alias("said"), "text").collect()
+    agreed = docs.filter(not_blank(F.col("text")) & (said == also) & (said != "mixed"))
+    long = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: F.length(x) >= 40)
+    step = F.greatest(F.lit(1), F.ceil(F.size("long") / sample_lines)).cast("int")
+    spread = F.filter("long", lambda x, i: i % F.col("step") == 0)
+    taken = sample_of(agreed, sample_docs, F.col(key)).select(said.alias("said"), long.alias("long")).withColumn("step", step)
+    rows = taken.select("said", spread.alias("own")).collect()  # sample_docs x sample_lines lines at most
     lines, labels, groups = [], [], []
-    for i, (said_, text) in enumerate(rows):
-        own = [x.strip() for x in text.split("\n") if len(x.strip()) >= 40][:12]
+    for i, (said_, own) in enumerate(rows):
         lines += own
         labels += [LANGUAGES.index(said_)] * len(own)
         groups += [i] * len(own)
@@ -154,13 +159,14 @@ def fit(docs: DataFrame, key: str = "doc_id", *, sample_docs: int = SAMPLE_DOCS)
 
 
 def identify(docs: DataFrame, key: str = "doc_id", *, model: Model | None = None) -> DataFrame:
-    """(key, label, languages array<string>, confidence, segments array<struct<line_no, lang, confidence>>).
+    """(key, label, languages array<string>, confidence, segments array<struct<line_no, last_line, lang, confidence>>).
 
     One row per document with a text that isn't blank. `label` is source_language as label_of reads it. Segments are
-    the runs of body lines in one language, by the number of their first line.
+    the runs of body lines in one language, with their first and last line and the mean confidence by length; a line that
+    is rejected as undetermined ends a run.
     """
     model = model or fit(docs, key)
-    schema = f"{key} {dict(docs.dtypes)[key]}, source_language string, languages array<string>, confidence double, segments array<struct<line_no:int,lang:string,confidence:double>>"
+    schema = f"{key} {dict(docs.dtypes)[key]}, source_language string, languages array<string>, confidence double, segments array<struct<line_no:int,last_line:int,lang:string,confidence:double>>"
 
     def of(batch, drops):
         texts = batch.column("text").to_pylist()
@@ -189,7 +195,7 @@ def identify(docs: DataFrame, key: str = "doc_id", *, model: Model | None = None
                 sure.append(c)
                 segments.append(s)
         return pa.RecordBatch.from_arrays(
-            [batch.column(key), batch.column("source_language"), pa.array(names, pa.list_(pa.string())), pa.array(sure, pa.float64()), pa.array(segments, pa.list_(pa.struct([("line_no", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())])))],
+            [batch.column(key), batch.column("source_language"), pa.array(names, pa.list_(pa.string())), pa.array(sure, pa.float64()), pa.array(segments, pa.list_(pa.struct([("line_no", pa.int32()), ("last_line", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())])))],
             names=[key, "source_language", "languages", "confidence", "segments"],
         )
 
@@ -197,20 +203,30 @@ def identify(docs: DataFrame, key: str = "doc_id", *, model: Model | None = None
 
 
 def _document(mine, width, best, top, ok, place) -> tuple[list[str], float | None, list[dict]]:
-    mine = mine[ok[mine]]
-    if not len(mine):
+    accepted = mine[ok[mine]]
+    if not len(accepted):
         return [], None, []
-    whole = mine[width[mine] >= PARAGRAPH]
-    counted = whole if len(whole) else mine
+    whole = accepted[width[accepted] >= PARAGRAPH]
+    counted = whole if len(whole) else accepted
     size = np.bincount(best[counted], width[counted], len(LANGUAGES))
-    total = size.sum()
-    held = [k for k in np.argsort(-size) if size[k] and size[k] >= FURTHER_SHARE * total]
+    sure = np.bincount(best[whole], (width[whole] >= SURE_LENGTH) & (top[whole] >= SURE), len(LANGUAGES)) if len(whole) else np.zeros(len(LANGUAGES))
+    order = [int(k) for k in np.argsort(-size) if size[k]]
+    held = order[:1] + [k for k in order[1:] if sure[k]]
     runs: list[dict] = []
+    last = None
     for i in mine:
+        if not ok[i]:
+            last = None
+            continue
         lang = LANGUAGES[best[i]]
-        if not runs or runs[-1]["lang"] != lang:
-            runs.append({"line_no": place[i], "lang": lang, "confidence": float(top[i])})
-    return [LANGUAGES[k] for k in held], float((top[counted] * width[counted]).sum() / width[counted].sum()), runs
+        if last != lang:
+            runs.append({"line_no": place[i], "lang": lang, "sum": 0.0, "chars": 0})
+            last = lang
+        runs[-1]["last_line"] = place[i]
+        runs[-1]["sum"] += float(top[i]) * int(width[i])
+        runs[-1]["chars"] += int(width[i])
+    segments = [{"line_no": r["line_no"], "last_line": r["last_line"], "lang": r["lang"], "confidence": r["sum"] / r["chars"]} for r in runs]
+    return [LANGUAGES[k] for k in held], float((top[counted] * width[counted]).sum() / width[counted].sum()), segments
 
 
 def mislabelled(docs: DataFrame, key: str = "doc_id", *, model: Model | None = None) -> DataFrame:

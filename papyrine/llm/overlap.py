@@ -185,8 +185,8 @@ def same(a: set[str], b: set[str], known: frozenset[str]) -> bool:
     return all(any((x not in known or y not in known) and edits(x, y) <= 2 for y in right) for x in left)
 
 
-def overlaps(rows: DataFrame, sites: DataFrame) -> DataFrame:
-    """(eval_id, train_id) of all overlapping records of the dev and test splits with the train split."""
+def confirmed_classes(rows: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members (id, side, anchor, words, class), pairs (eval_class, train_class)): classes that overlap; copies aren't expanded."""
     names, words = institution_names(sites), vocabulary(rows)
     made: list[Reader] = []
 
@@ -215,8 +215,17 @@ def overlaps(rows: DataFrame, sites: DataFrame) -> DataFrame:
         full = full.join(c.select(*(F.col(x).alias(f"{s}_{x}") for x in ("class", "anchor", "words"))), f"{s}_class")
     alike = full.filter(F.col("eval_anchor") == F.col("train_anchor"))
     confirmed = alike.select("eval_class", "train_class", "eval_words", "train_words").mapInArrow(verify, "eval_class long, train_class long")
-    ids = {s: members.filter(F.col("side") == s).select(F.col("class").alias(f"{s}_class"), F.col("id").alias(f"{s}_id")).distinct() for s in sides}
-    return confirmed.join(ids["eval"], "eval_class").join(ids["train"], "train_class").select("eval_id", "train_id").distinct()
+    return members, confirmed
+
+
+def ids_of(members: DataFrame, side: str) -> DataFrame:
+    return members.filter(F.col("side") == side).select(F.col("class").alias(f"{side}_class"), F.col("id").alias(f"{side}_id")).distinct()
+
+
+def overlaps(rows: DataFrame, sites: DataFrame) -> DataFrame:
+    """(eval_id, train_id) of all overlapping records of the dev and test splits with the train split."""
+    members, confirmed = confirmed_classes(rows, sites)
+    return confirmed.join(ids_of(members, "eval"), "eval_class").join(ids_of(members, "train"), "train_class").select("eval_id", "train_id").distinct()
 
 
 def overlap_pairs(rows: DataFrame, sites: DataFrame) -> DataFrame:
@@ -225,7 +234,13 @@ def overlap_pairs(rows: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def overlap_counts(rows: DataFrame, sites: DataFrame) -> DataFrame:
-    """(split, source_url, eval_records, pairs): confirmed overlaps by split and source of the evaluation record."""
-    own = rows.groupBy("id").agg(F.first("split").alias("split"), F.first("source_url").alias("source_url"))
-    found = overlaps(rows, sites).groupBy("eval_id").agg(F.count("*").alias("pairs"))
-    return found.join(own, found.eval_id == own.id).groupBy("split", "source_url").agg(F.count("*").alias("eval_records"), F.sum("pairs").alias("pairs"))
+    """(split, source_url, eval_records, pairs): confirmed overlaps by split and source of the evaluation record.
+
+    Pairs are counted from the sizes of the classes; none is made.
+    """
+    members, confirmed = confirmed_classes(rows, sites)
+    sizes = ids_of(members, "train").groupBy("train_class").agg(F.count("*").alias("size"))
+    found = confirmed.join(sizes, "train_class").groupBy("eval_class").agg(F.sum("size").alias("pairs"))
+    own = rows.groupBy(F.col("id").alias("eval_id")).agg(F.first("split").alias("split"), F.first("source_url").alias("source_url"))
+    each = ids_of(members, "eval").join(found, "eval_class").groupBy("eval_id").agg(F.sum("pairs").alias("pairs"))
+    return each.join(own, "eval_id").groupBy("split", "source_url").agg(F.count("*").alias("eval_records"), F.sum("pairs").alias("pairs"))

@@ -298,7 +298,7 @@ def made_examples(rows: list, seed: int = 5) -> list[tuple[object, list[tuple[st
             text = rng.choice(starts) + rng.choice(bodies).format(about) + rng.choice(ends)
             out.append((r, [(c, "refusal") for c in clauses_of(text[:1].upper() + text[1:])]))
         else:
-            others = [x for k, v in by_lang.items() if k != r.qa_language for x in v[:400]]
+            others = [x for k, v in by_lang.items() if k != r.qa_language for x in v]
             if others and matter_of(fold(r.question)) != "vname":
                 out.append((r, [(c, "foreign") for c in clauses_of(rng.choice(others))]))
     return out

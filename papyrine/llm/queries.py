@@ -50,7 +50,7 @@ def p3_languages(spark, folder):
 
 def p3_segments(spark, folder):
     found = language.identify(_table(spark, folder, "documents"))
-    return found.select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.line_no", "s.lang", "s.confidence")
+    return found.select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.line_no", "s.last_line", "s.lang", "s.confidence")
 
 
 def _repaired(spark, folder):

@@ -344,7 +344,9 @@ def test_overlaps(spark, folder):
     rows += rows[:2]
     docs = spark.createDataFrame(rows, QA)
     assert sorted(tuple(r) for r in overlap.overlap_pairs(docs, sites).collect()) == [("dev_5", "train_1"), ("test_1", "train_1")]
-    assert overlap.overlap_pairs(docs.limit(0), sites).count() == 0
+    counts = overlap.overlap_counts(docs, sites).collect()
+    assert sorted((r.split, r.eval_records, r.pairs) for r in counts) == [("dev", 1, 1), ("test", 1, 1)]
+    assert overlap.overlap_pairs(docs.limit(0), sites).count() == 0 and overlap.overlap_counts(docs.limit(0), sites).count() == 0
 
 
 def test_bands_miss_few_pairs_at_the_least_similarity():
