@@ -34,23 +34,40 @@ KINDS = (
     ("abbreviation", (), ("abbreviation", "stand for")),
     ("count", ("how many ",), ()),
 )
-#: The finer kinds, by patterns. Fixed values.
+#: The finer kinds, by patterns in order. Fixed values.
 FINE_KINDS = (
+    ("yesno", r"^does "),
     ("comparison", r"\b(?:higher|highest|lower|lowest|above|below)\b"),
-    ("yesno", r"^(?:does|is|are|can|do|did)\b"),
-    ("tuition", r"\b(?:tuition|fees?|cost|pay)\b"),
-    ("score", r"\b(?:scores?|points|cut-off)\b"),
-    ("quota", r"\b(?:quotas?|places)\b"),
-    ("duration", r"\bhow long\b|\bduration\b|\bhow many years\b"),
-    ("date", r"^when\b|\b(?:what|which) (?:year|date)\b|\bdeadline\b"),
-    ("subjects", r"\b(?:combinations?|subjects?)\b"),
-    ("degree", r"\bdegree\b"),
-    ("location", r"^where\b|\bcity\b"),
-    ("url", r"\b(?:homepage|website)\b"),
-    ("count", r"^how many\b|\bnumber of\b"),
-    ("program", r"\bwhich (?:program|programme|course)s?\b"),
-    ("description", r"^(?:what|which) (?:is|are)\b"),
+    ("program", r"\bwhich\b.*\b(?:program|programs|major|majors)\b"),
+    ("subjects", r"combination|subjects"),
+    ("tuition", r"tuition|fee|pay|vnd"),
+    ("score", r"score|points"),
+    ("count", r"^how many |number of|quota"),
+    ("duration", r"duration|how long|study period|maximum study"),
+    ("date", r"^when |in what year|which year"),
+    ("url", r"homepage|website"),
+    ("location", r"city|^where "),
+    ("degree", r"degree"),
+    ("description", r"recognized as"),
 )
+#: What answers of the finer kinds must or must not hold. Fixed values.
+SCHOOL_SUBJECTS = r"\b(?:mathematics|literature|english|history|geography|physics|chemistry|biology)\b"
+NO_PROGRAM = r"\d|points|vnd|tuition|semester|year"
+DEGREE_WORDS = r"degree|engineer|bachelor"
+#: Canonical degrees and their patterns. Fixed values.
+DEGREES = (("Bachelor degree", r"(?i)\bBachelor(?:'s)?\s+degree\b"), ("Engineer degree", r"(?i)\bEngineer(?:ing)?\s+degree\b"))
+#: Categories over URL, title and opening, first hit wins. Fixed values.
+RAW_CATEGORIES = (
+    ("admission", ("admission", "tuyen-sinh", "enroll")),
+    ("academic_program", ("curriculum", "academic program", "undergraduate", "graduate")),
+    ("organization", ("organization", "structure", "member")),
+    ("overview_history", ("history", "mission", "vision", "overview")),
+    ("research_faculty", ("research", "institute", "faculty")),
+)
+#: What happened to a thing, in the order in which it is looked for. Fixed values.
+ACTIONS = ("founded", "established", "reorganized", "renamed", "issued", "approved", "honored", "ranked", "launched", "created", "formed")
+#: Terms of which a good sentence has one. Fixed values.
+GOOD_TERMS = (" is ", " are ", " was ", " were ", " has ", " have ", " offers ", " provides ", " established ", " founded ", " ranked ", " includes ", " consists ", " aims ", " requires ", " admitted ", " admission ", " program", " university", " faculty", " school", " institute")
 
 
 def first_hit(subject: Column, rules, default: str) -> Column:
@@ -70,7 +87,7 @@ def category(url: Column, body: Column, *, rules=CATEGORIES, prefix: int = 4_000
     return first_hit(subject, rules, "general")
 
 
-def category_raw(url: Column, title: Column, body: Column, *, rules=CATEGORIES, prefix: int = 1_200) -> Column:
+def category_raw(url: Column, title: Column, body: Column, *, rules=RAW_CATEGORIES, prefix: int = 1_200) -> Column:
     """As category(), over lower-case URL, title and opening without folding."""
     parts = (F.coalesce(url, F.lit("")), F.coalesce(title, F.lit("")), F.substring(F.coalesce(body, F.lit("")), 1, prefix))
     return first_hit(F.lower(F.concat_ws(" ", *parts)), rules, "general")
@@ -147,7 +164,7 @@ def question_kind(question: Column) -> Column:
 
 def fine_kind(question: Column) -> Column:
     """Kind by ordered patterns; `entity` if none fits."""
-    q = F.lower(F.trim(question))
+    q = F.lower(question)
     out = F.lit("entity")
     for kind, pattern in reversed(FINE_KINDS):
         out = F.when(q.rlike(pattern), F.lit(kind)).otherwise(out)
@@ -159,25 +176,60 @@ def compatible(wanted: Column, offered: Column) -> Column:
     return (wanted == offered) | ((wanted == "count") & (offered == "quota")) | ((wanted == "entity") & ~offered.isin("tuition", "score", "quota", "duration"))
 
 
+def compatible_fine(wanted: Column, offered: Column) -> Column:
+    """As compatible(), between the finer kinds: names and descriptions also answer for programmes."""
+    named = offered.isin("entity", "description")
+    return (wanted == offered) | (wanted.isin("program", "description") & named) | ((wanted == "entity") & ~offered.isin("tuition", "score", "count", "duration"))
+
+
 def invalid_for_kind(answer: Column, kind: Column) -> Column:
-    """Whether an answer can't be of the kind: no number where one is needed, no year, no link, too long a name."""
-    number = answer.rlike(r"\d")
-    return (
-        (F.length(F.trim(answer)) == 0)
-        | (kind.isin("tuition", "score", "quota", "count", "duration") & ~number)
-        | ((kind == "date") & ~answer.rlike(r"\d{4}"))
-        | ((kind == "url") & ~answer.rlike(r"https?://|www\."))
-        | ((kind == "yesno") & ~F.lower(answer).rlike(r"^(?:yes|no)\b"))
-        | ((kind == "location") & number)
-        | ((kind == "entity") & (text.word_count(answer) > 25))
+    """Whether an answer can't be of its fine kind; an empty or null one never is."""
+    low, number = F.lower(answer), answer.rlike(r"\d")
+    rules = (
+        ("program", low.rlike(NO_PROGRAM)),
+        ("location", (text.word_count(answer) > 5) | low.contains("university")),
+        ("subjects", ~low.rlike(SCHOOL_SUBJECTS)),
+        ("degree", ~low.rlike(DEGREE_WORDS)),
+        ("url", ~low.rlike("^https?://")),
+        ("yesno", ~low.isin("yes", "no")),
     )
+    out = F.when(kind.isin("score", "tuition", "count", "duration", "date"), ~number).otherwise(F.lit(False))
+    for name, bad in rules:
+        out = F.when(kind == name, bad).otherwise(out)
+    return F.coalesce((answer == "") | out, F.lit(True))
 
 
 def kind_bonus(answer: Column, kind: Column) -> Column:
-    """-8 for an answer that can't be of the kind, 3 for a typed one, 2 for a short name, else 0."""
+    """-8 for an answer that can't be of the kind, 3 for one of a named kind, 2 for a number, else 0."""
     return (
         F.when(invalid_for_kind(answer, kind), -8.0)
-        .when(kind.isin("tuition", "score", "quota", "count", "duration", "date", "url"), 3.0)
-        .when((kind == "entity") & (text.word_count(answer) <= 8), 2.0)
+        .when(kind.isin("program", "degree", "subjects", "location", "yesno"), 3.0)
+        .when(kind.isin("score", "tuition", "count", "duration", "date"), 2.0)
         .otherwise(0.0)
     )
+
+
+def normalized_for_kind(answer: Column, kind: Column, *, places: tuple[str, ...] = (), degrees=DEGREES) -> Column:
+    """The canonical degree or place that an answer of that kind names, else the cleaned answer. `places` are names."""
+    out = text.clean_answer(answer)
+    for name, pattern in reversed(degrees):
+        out = F.when((kind == "degree") & answer.rlike(pattern), name).otherwise(out)
+    for place in reversed(places):
+        out = F.when((kind == "location") & answer.rlike(rf"(?i)\b\Q{place}\E\b"), place).otherwise(out)
+    return out
+
+
+def action(sentence: Column, *, actions: tuple[str, ...] = ACTIONS) -> Column:
+    """The first of the actions that the sentence has, else `mentioned`; null stays null."""
+    out = first_hit(F.lower(sentence), tuple((a, (a,)) for a in actions), "mentioned")
+    return F.when(sentence.isNotNull(), out)
+
+
+def good_sentence(sentence: Column, *, terms: tuple[str, ...] = GOOD_TERMS) -> Column:
+    """Whether a sentence is worth asking about: eight words, mostly letters, few digits, and one of the terms."""
+    letters = F.length(F.regexp_replace(sentence, r"[^\p{L}]", ""))
+    digits = F.length(F.regexp_replace(sentence, r"[^0-9]", ""))
+    padded, hit = F.concat(F.lit(" "), F.lower(sentence), F.lit(" ")), F.lit(False)
+    for t in terms:
+        hit = hit | padded.contains(t)
+    return F.coalesce((text.word_count(sentence) >= 8) & (letters >= F.length(sentence) * 0.52) & (digits <= letters * 0.45) & hit, F.lit(False))

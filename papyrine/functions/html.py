@@ -11,11 +11,40 @@ SKIPPED = "script|style|noscript|svg|canvas"
 BLOCKS = "address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|p|pre|section|table|tbody|td|th|thead|tr|ul|title"
 
 
+#: Single-byte charsets that can be declared, as Python spells them.
+SINGLE_BYTE = (*(f"windows-{n}" for n in range(1250, 1259)), *(f"iso-8859-{n}" for n in (*range(2, 12), *range(13, 17))), "koi8-r", "koi8-u", "macintosh", "ibm437", "ibm850")
+HIGH = "".join(map(chr, range(128, 256)))
+
+
 def decoded(body: Column, content_type: Column) -> Column:
-    """The text of a body in its declared charset (UTF-8 by default); invalid bytes become replacement characters."""
-    charset = F.lower(F.regexp_extract(content_type, r"(?i)charset=\"?([\w-]+)", 1))
+    """The text of a body in its declared charset; invalid bytes become replacement characters.
+
+    UTF-8 is the default and stands in for charsets that aren't known. Single-byte charsets are read as Latin-1 and
+    their upper half is translated by the charset's own table, so all of it stays in the JVM.
+    """
+    charset = F.lower(F.regexp_extract(content_type, r"(?i)charset\s*=\s*[\"']?([\w.:-]+)", 1))
     latin = F.decode(body, "ISO-8859-1")
-    return F.when(charset.isin("iso-8859-1", "latin-1"), latin).otherwise(F.make_valid_utf8(body.cast("string")))
+    tables = F.create_map(*(F.lit(x) for c in SINGLE_BYTE for x in (c, bytes(range(128, 256)).decode(c, "replace"))))
+    out = F.make_valid_utf8(body.cast("string"))
+    out = F.when(charset.isin(*SINGLE_BYTE), F.call_function("translate", latin, F.lit(HIGH), F.element_at(tables, charset))).otherwise(out)
+    out = F.when(charset.isin("utf-16", "utf-16le", "utf-16be"), F.decode(body, "UTF-16")).otherwise(out)
+    return F.when(charset.isin("iso-8859-1", "latin-1", "latin1", "us-ascii"), latin).otherwise(out)
+
+
+def script_text(html: Column) -> Column:
+    """Text of markup that scripts hold escaped (`\\u003c` for `<`, or set as inner HTML): unescaped, without tags."""
+    bodies = F.regexp_extract_all(html, F.lit(r"(?is)<script\b[^>]*>(.*?)</script\s*>"), F.lit(1))
+    marked = F.filter(bodies, lambda x: F.contains(F.lower(x), F.lit("\\u003c")) | F.contains(x, F.lit("dangerouslySetInnerHTML")))
+    out = F.array_join(marked, "\n")
+    for escaped, plain in ((r"(?i)\\u003c", "<"), (r"(?i)\\u003e", ">"), (r"(?i)\\u0026", "&"), (r"(?i)\\u0022|\\\"", '"'), (r"\\n|\\t|\\r", " "), (r"\\/", "/")):
+        out = F.regexp_replace(out, escaped, plain)
+    inner = F.array_join(F.transform(F.regexp_extract_all(out, F.lit(r"(?s)>([^<>]*\p{L}[^<>]*)<"), F.lit(1)), lambda x: T.collapse(T.unescape(x))), "\n")
+    return F.coalesce(inner, F.lit(""))
+
+
+def page_text(html: Column) -> Column:
+    """Visible text, and below it that of escaped markup in scripts."""
+    return F.concat_ws("\n", F.nullif(visible_text(html), F.lit("")), F.nullif(script_text(html), F.lit("")))
 
 
 def without_scripts(html: Column) -> Column:

@@ -42,17 +42,21 @@ def first_wins(rows: DataFrame, keys: list[Column], order: list[Column]) -> Data
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
-def clean_documents(docs: DataFrame, *, key: str = "doc_id", terms: tuple[str, ...] = ("copyright", "read more", "related posts", "cookie"), fact: str = "Fact ") -> DataFrame:
+def clean_documents(docs: DataFrame, *, key: str = "doc_id", terms: tuple[str, ...] = ("copyright", "read more", "related posts", "cookie"), fact: str = "Fact ", marker: str = "Curated facts") -> DataFrame:
     """(key, text): lines that aren't boilerplate; short ones only once. Facts always stay; a long line may come again.
 
+    From the first line that begins with `marker` on only facts are kept.
+
     Row-local. Each array is materialised once by a generator, since lambdas would compute it again per element. A
     line counts as seen by its key if it has fewer than 18 words. A null text stays null.
     """
-    def once(rows: DataFrame, name: str, array: Column) -> DataFrame:
-        return rows.withColumn(name, F.explode(F.array(array)))
+    def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+        return rows.withColumn(name, F.explode(F.array(value)))
 
     rows = docs.select(key, "title", F.coalesce("text", F.lit("")).alias("_text"), F.col("text").isNull().alias("_null"))
     rows = once(rows, "_lines", F.filter(F.transform(F.split("_text", "\n", -1), T.collapse), lambda x: x != ""))
+    rows = once(rows, "_end", F.coalesce(F.nullif(F.array_position(F.transform("_lines", lambda x: x.startswith(marker)), F.lit(True)), F.lit(0)), F.size("_lines") + 1))
+    rows = once(rows, "_lines", F.filter("_lines", lambda x, i: (i + 1 < F.col("_end")) | x.startswith(fact)))
     rows = once(rows, "_kept", F.filter("_lines", lambda x: x.startswith(fact) | ~classify.boilerplate_line(x, F.col("title"), terms=terms)))
     rows = once(rows, "_keys", F.transform("_kept", lambda x: F.when((T.word_count(x) < 18) & ~x.startswith(fact), T.line_key(x))))
     first = F.filter("_kept", lambda x, i: F.get("_keys", i).isNull() | (F.array_position("_keys", F.get("_keys", i)) == i + 1))
@@ -109,26 +113,109 @@ def with_ordinal(rows: DataFrame, column: str, *, name: str = "ordinal") -> Data
     return ordered.withColumn("_l", local).join(F.broadcast(before), "_p").withColumn(name, (F.col("before") + F.col("_l")).cast("long")).drop("_p", "_l", "before")
 
 
-def quality_gate(docs: DataFrame, terms: tuple[str, ...], *, least_words: int = 70) -> DataFrame:
-    """Documents with words enough that are relevant by URL or text."""
-    return docs.filter((T.word_count(F.coalesce("text", F.lit(""))) >= least_words) & classify.relevant(F.col("url"), F.col("text"), terms))
+def quality_gate(docs: DataFrame, terms: tuple[str, ...], *, least_words: int = 70, mandatory: Column | None = None) -> DataFrame:
+    """Documents with words enough that are relevant by URL or text, or mandatory."""
+    wanted = classify.relevant(F.col("url"), F.col("text"), terms)
+    if mandatory is not None:
+        wanted = wanted | F.coalesce(mandatory, F.lit(False))
+    return docs.filter((T.word_count(F.coalesce("text", F.lit(""))) >= least_words) & wanted)
 
 
-def crawl(seeds: DataFrame, pages: DataFrame, *, rounds: int = 3, most: int | None = 650) -> DataFrame:
-    """(url, depth): breadth-first order over (url, html) pages from seed URLs, at most `most` per level, None for all.
+def crawl(seeds: DataFrame, pages: DataFrame, *, rounds: int = 3, most: int | None = None, relevant: Column | None = None) -> DataFrame:
+    """(url, depth, place): the order in which a breadth-first crawl over (url, html) pages comes to URLs.
 
-    Each level is an anti-join with what was visited and an explode of links; levels are materialised.
+    Seeds stand in order of URL; then a URL's place is that of its first link, by the place of the linking page and the
+    link's place on it. `relevant` is a condition on `url` for links to follow; seeds are always followed. `most` bounds
+    all fetches together, in this order, as a crawler's limit does; None crawls to the end. Each level is an anti-join
+    with what was visited and an explode of links; levels are materialised.
     """
-    frontier = cut(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
+    def numbered(rows: DataFrame, key: Column, depth: int, base: int) -> DataFrame:
+        return cut(with_ordinal(rows.withColumn("_k", key), "_k", name="_o").select("url", F.lit(depth).alias("depth"), (F.col("_o") + base).alias("place")))
+
+    frontier = numbered(seeds.select("url").filter(F.col("url").isNotNull()).distinct(), F.col("url"), 0, 0)
     visited = frontier
     for depth in range(1, rounds + 1):
-        found = frontier.join(pages, "url").select(F.explode(html.links(F.col("html"), F.col("url"))).alias("url")).distinct()
-        fresh = found.join(visited.select("url"), "url", "left_anti")
-        frontier = cut((fresh if most is None else fresh.orderBy("url").limit(most)).withColumn("depth", F.lit(depth)))
+        base = visited.count()
+        if most is not None and base >= most:
+            break
+        found = frontier.join(pages, "url").select("place", F.posexplode(html.links(F.col("html"), F.col("url"))).alias("pos", "url"))
+        if relevant is not None:
+            found = found.filter(relevant)
+        first = found.groupBy("url").agg(F.min(F.struct("place", "pos")).alias("at")).join(visited.select("url"), "url", "left_anti")
+        frontier = numbered(first.select("url", "at"), F.format_string("%015d|%09d", "at.place", "at.pos"), depth, base)
         if frontier.isEmpty():
             break
         visited = cut(visited.unionByName(frontier))
-    return visited
+    return visited if most is None else visited.filter(F.col("place") <= most)
+
+
+def crawled_documents(order: DataFrame, fetched: DataFrame, terms: tuple[str, ...], *, least_words: int = 70, mandatory: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents (id, url, place, content_sha256, text), failures (url, status)) of a crawl's order.
+
+    fetched has (url, status, text), a row per URL. Failed fetches are reported; documents are gated, and of those with
+    one text the first in the crawl's order stays. They are numbered from 0 in that order.
+    """
+    rows = order.join(fetched, "url")
+    failures = rows.filter(F.coalesce(F.col("status") != "ok", F.lit(True))).select("url", "status")
+    good = quality_gate(rows.filter(F.col("status") == "ok"), terms, least_words=least_words, mandatory=mandatory)
+    hashed = good.withColumn("content_sha256", F.sha2("text", 256))
+    kept = hashed.groupBy("content_sha256").agg(F.min_by(F.struct("url", "place", "text"), "place").alias("d")).select("d.*", "content_sha256")
+    ids = F.format_string("doc_%04d", F.col("ordinal") - 1)
+    return with_ordinal(kept, "place").select(ids.alias("id"), "url", "place", "content_sha256", "text"), failures
+
+
+def missing_sources(pairs: DataFrame, documents: DataFrame) -> DataFrame:
+    """(source_url): the pairs' sources that no document has."""
+    asked = pairs.filter(F.col("source_url").isNotNull()).select("source_url").distinct()
+    return asked.join(documents.select(F.col("url").alias("source_url")).distinct(), "source_url", "left_anti")
+
+
+def with_documents(pairs: DataFrame, documents: DataFrame) -> DataFrame:
+    """pairs with the document_id of their source_url; raises a KeyError that names sources no document has.
+
+    documents has (document_id, url), a row per URL. Pairs without a source have no document and are left out.
+    """
+    lost = [r.source_url for r in missing_sources(pairs, documents).orderBy("source_url").limit(5).collect()]
+    if lost:
+        raise KeyError(f"sources without a document: {', '.join(lost)}")
+    return pairs.join(documents.select(F.col("url").alias("source_url"), "document_id"), "source_url")
+
+
+def annotations(pairs: DataFrame, documents: DataFrame, chunks: DataFrame, *, split: str, seed: int = 42, status: str = "manual_curated", language: str = "en") -> DataFrame:
+    """Annotation rows of one split in a seeded order: (id, split, question, answers, answer, source_id, source_url, chunk_id, qa_language, annotation_status).
+
+    pairs has (question, answer, source_url). Rows of the train split get their document and the chunk that holds the
+    answer; others have neither. Ids number the seeded order from 0. Repeated pairs stay repeated.
+    """
+    from papyrine.operators import chunking, generation
+
+    keyed = pairs.select("question", "answer", "source_url")
+    copies = keyed.groupBy("question", "answer", "source_url").agg(F.count("*").alias("n"))
+    rows = copies.select("question", "answer", "source_url", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
+    rows = rows.withColumn("_key", F.sha2(F.to_json(F.struct("question", "answer", "source_url", "copy")), 256))
+    placed = cut(generation.shuffled(rows, seed=seed, key="_key").withColumn("id", F.format_string(f"{split}_%04d", F.col("place") - 1)))
+    if split == "train":
+        sourced = with_documents(placed, documents).withColumnRenamed("document_id", "source_id")
+        sourced = sourced.join(chunking.with_answer(sourced.select("id", "source_id", "question", "answer"), chunks), "id", "left")
+    else:
+        none = F.lit(None).cast("string")
+        sourced = placed.withColumn("source_url", none).withColumns({"source_id": none, "chunk_id": none})
+    return sourced.select("id", F.lit(split).alias("split"), "question", F.array("answer").alias("answers"), "answer", "source_id", "source_url", "chunk_id", F.lit(language).alias("qa_language"), F.lit(status).alias("annotation_status"))
+
+
+def dataset_metadata(documents: DataFrame, chunks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row of statistics: documents, chunks, pairs per split, sources, fetched and fallback documents, counts per fetch status."""
+    one = F.lit(1).alias("_one")
+    fetched = F.count_if(F.coalesce(F.col("fetch_status") == "ok", F.lit(False)))
+    docs = documents.agg(F.count("*").alias("document_count"), F.count_distinct("url").alias("unique_source_url_count"), fetched.alias("fetched_source_count"), (F.count("*") - fetched).alias("fallback_source_count"), one)
+    parts = (
+        chunks.agg(F.count("*").alias("chunk_count"), one),
+        pairs.agg(F.count_if(F.col("split") == "train").alias("train_count"), F.count_if(F.col("split") == "test").alias("test_count"), one),
+        histogram(documents, "fetch_status").select(F.col("counts").alias("fetch_status_counts"), one),
+    )
+    for part in parts:
+        docs = docs.join(F.broadcast(part), "_one")
+    return docs.drop("_one")
 
 
 def histogram(rows: DataFrame, column: str) -> DataFrame:

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import random
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrine.functions import text as T
+from papyrine.runtime import cut
 
-#: Typed answers in sentences, in the order in which they are looked for. Fixed values.
+#: Typed answers in sentences, in the order in which they are looked for; a parameter of candidates().
 TYPES = (
     ("date", r"\b\d{1,2} [A-Z][a-z]+ \d{4}\b"),
     ("percentage", r"\b\d+(?:\.\d+)? ?%"),
@@ -26,26 +28,77 @@ TYPES = (
 BANNED = ("according to the text", "in the passage", "this document", "the above")
 
 
-def candidates(sentences: DataFrame) -> DataFrame:
+def candidates(sentences: DataFrame, *, types=TYPES) -> DataFrame:
     """(keys of sentences, answer_type, answer, place): typed answers of a column `sentence`, each once, the first wins."""
     def typed(name: str, pattern: str) -> Column:
         return F.transform(F.regexp_extract_all("sentence", F.lit(f"({pattern})")), lambda a: F.struct(F.lit(name).alias("answer_type"), a.alias("answer")))
 
-    found = [typed(name, pattern) for name, pattern in TYPES]
+    found = [typed(name, pattern) for name, pattern in types]
     keys = [c for c in sentences.columns if c != "sentence"]
     rows = sentences.select(*keys, "sentence", F.posexplode(F.concat(*found)).alias("place", "c")).select(*keys, "sentence", "place", "c.answer_type", "c.answer")
     once = Window.partitionBy(*keys, F.lower("answer")).orderBy("place")
     return rows.withColumn("_n", F.row_number().over(once)).filter("_n = 1").drop("_n")
 
 
+#: Units of counts that stand for programmes. Fixed values.
+PROGRAMME_UNITS = ("master", "doctor", "doctoral", "undergraduate")
+
+
+def answer_unit(answer: Column, answer_type: Column) -> Column:
+    """What a count counts: the unit its type names, else the words after its number; `credits`, else `items`."""
+    unit = F.trim(F.regexp_extract(answer, r"(?s)^\d{1,4}(?:,\d{3})?\s+(.+)", 1))
+    lettered = (F.upper(unit) == unit) & (F.lower(unit) != unit)
+    named = F.when(lettered, F.lower(unit)).when(unit.isin(*PROGRAMME_UNITS), F.concat(unit, F.lit(" programs"))).otherwise(unit)
+    return (
+        F.when(answer_type.startswith("count:"), F.substring(answer_type, 7, 10_000))
+        .when((answer_type == "count") & (unit != ""), named)
+        .when(answer_type == "credits", "credits")
+        .otherwise("items")
+    )
+
+
+def reference_answer(answer: Column, answer_type: Column) -> Column:
+    """The bare number of a count or of credits; other answers stay."""
+    count, credits = F.regexp_extract(answer, r"^(\d{1,4}(?:,\d{3})?)\s", 1), F.regexp_extract(answer, r"(?i)^(\d{1,3})\s+credits?", 1)
+    return F.when((answer_type == "count") & (count != ""), count).when((answer_type == "credits") & (credits != ""), credits).otherwise(answer)
+
+
+def without_navigation(sentence: Column, *, starts: tuple[str, ...], terms: tuple[str, ...] = (), least: int = 20, words: int = 12) -> Column:
+    """A sentence without the navigation before its true beginning.
+
+    `starts` are patterns of beginnings. The first one that is found beyond `least` signs, behind a navigation term or
+    more than `words` words, cuts what stands before it; white space is collapsed, outer dashes go.
+    """
+    flat = T.collapse(sentence)
+    out = flat
+    for pattern in reversed(starts):
+        at = F.regexp_instr(flat, F.lit(f"({pattern})"))
+        prefix = F.substring(flat, F.lit(1), F.greatest(at - 1, F.lit(0)))
+        hit = T.word_count(prefix) > words
+        for t in terms:
+            hit = hit | prefix.contains(t)
+        out = F.when((at - 1 > least) & hit, F.substring(flat, at, F.length(flat))).otherwise(out)
+    return F.btrim(out, F.lit(" -"))
+
+
 def subject_of(sentence: Column, *, most: int = 13) -> Column:
-    """What a sentence is about: the words before its first verb, without brackets and openers; at most `most` words."""
-    out = F.regexp_replace(sentence, r"\([^)]{0,80}\)", "")
-    out = F.regexp_replace(out, r"^(?i:in|since|from|between|according to)\b[^,]{0,60},\s*", "")
-    head = F.regexp_extract(out, r"^(.*?)\s+(?:is|are|was|were|has|have|had|will|shows?|covers?|must|may|can)\b", 1)
-    words = F.split(F.trim(F.regexp_replace(head, r"^(?i:the|a|an)\s+", "")), r"\s+")
+    """What a sentence is about: the words before its first verb, as clean_subject() leaves them; at most `most` words."""
+    head = F.regexp_extract(F.regexp_replace(sentence, r"^(?i:in|since|from|between|according to)\b[^,]{0,60},\s*", ""), r"^(.*?)\s+(?:is|are|was|were|has|have|had|will|shows?|covers?|must|may|can)\b", 1)
+    return clean_subject(head, F.lit("this topic"), most=most)
+
+
+def clean_subject(value: Column, fallback: Column, *, most: int = 13) -> Column:
+    """A subject without short brackets, openers of time and manner and its article: its last `most` words.
+
+    The fallback stands for pronouns and for less than three signs.
+    """
+    out = F.regexp_replace(value, r"\([^)]{0,80}\)", "")
+    out = F.regexp_replace(out, r"^(?i:In|On|By|As of|Since)\s+[^,]{1,80},\s*", "")
+    out = F.regexp_replace(out, r"^(?i:Every year|Currently|Presently|Besides|Moreover|Therefore),?\s*", "")
+    out = F.btrim(F.regexp_replace(out, r"\s+", " "), F.lit(" ,.;:-"))
+    words = F.split(F.regexp_replace(out, r"^(?i:the|a|an)\s+", ""), " ", -1)
     short = F.array_join(F.slice(words, F.greatest(F.size(words) - most + 1, F.lit(1)), F.lit(most)), " ")
-    return F.when(F.lower(short).isin("", "it", "this", "they", "these", "there"), F.lit("this topic")).otherwise(short)
+    return F.when((F.length(short) < 3) | F.lower(short).isin("it", "they", "there", "this", "these", "those"), fallback).otherwise(short)
 
 
 def question_for(answer_type: Column, subject: Column) -> Column:
@@ -57,28 +110,51 @@ def question_for(answer_type: Column, subject: Column) -> Column:
     return out
 
 
-def rubric(question: Column, answer: Column, answer_type: Column, evidence: Column, language: Column) -> Column:
-    """An additive score of a pair: asked with a question word, short answer, answer in the evidence, typed, English."""
-    q = F.lower(question)
+#: Openings of questions and what they are worth, first hit wins. Fixed values.
+OPENINGS = (
+    (20, ("When ", "In what year ", "How many ", "What rank ", "What percentage ", "What school code ", "Who ")),
+    (16, ("What abbreviation ",)),
+    (10, ("Which university ", "Which school ", "Which faculty ", "Which institute ", "Which center ", "Which program ", "Which organization ", "Which field ")),
+)
+
+
+def rubric(question: Column, question_type: Column, language: Column) -> Column:
+    """An additive score of a pair: how it opens, a typed answer, English, vague forms, one question mark, length."""
+    opening = F.lit(0)
+    for worth, starts in reversed(OPENINGS):
+        hit = F.lit(False)
+        for start in starts:
+            hit = hit | question.startswith(start)
+        opening = F.when(hit, worth).otherwise(opening)
+    marks = F.length(question) - F.length(F.replace(question, F.lit("?"), F.lit("")))
     return (
-        F.when(q.rlike(r"^(?:what|which|who|when|where|how|under|on|by)\b"), 20).otherwise(0)
-        + F.when(F.contains(F.lower(evidence), F.lower(answer)), 16).otherwise(0)
-        + F.when(T.word_count(answer).between(1, 8), 10).otherwise(0)
-        + F.when(answer_type != "entity", 12).otherwise(0)
+        opening
+        + F.when(F.split_part(question_type, F.lit(":"), F.lit(1)) != "entity", 12).otherwise(0)
         + F.when(language == "en", 4).otherwise(0)
-        - F.when(T.word_count(question) > 30, 8).otherwise(0)
-        - F.when(F.contains(q, F.lower(answer)), 12).otherwise(0)
+        - F.when(question.contains(" is discussed in "), 8).otherwise(0)
+        - F.when(question.startswith("Which acronym appears"), 12).otherwise(0)
+        + F.when(marks == 1, 2).otherwise(0)
+        - F.when(F.length(question) > 180, 4).otherwise(0)
     ).cast("int")
 
 
+def best_rows(rows: DataFrame, score: Column, order: list[Column], n: int) -> DataFrame:
+    """The n rows of greatest score, equals in the stated order; a top-k that is cut in every task before it is merged."""
+    return rows.orderBy(score.desc(), *order).limit(n)
+
+
+def first_questions(questions: DataFrame, n: int | None, *, order: str = "line_no") -> DataFrame:
+    """The first n questions in order of their line, all for None or a number below 1: the limit option of a run."""
+    return questions.orderBy(order).limit(n) if n and n > 0 else questions
+
+
 def interleaved_split(ranked: DataFrame, train: int, test: int) -> DataFrame:
-    """Adds split to rows with `place` 1..n: every third goes to test until that is full, the others to train, then what
-    is left fills test; the rest has no split. In closed form over running counts."""
-    third = F.col("place") % 3 == 0
-    rows = ranked.withColumn("_third", third).withColumn("_t", F.floor(F.col("place") / 3)).withColumn("_o", F.col("place") - F.floor(F.col("place") / 3))
-    early = F.when(F.col("_third") & (F.col("_t") <= test), "test")
-    shifted = F.when(F.col("_third"), F.col("place") - F.least(F.floor(F.col("place") / 3), F.lit(test))).otherwise(F.col("place") - F.least(F.floor(F.col("place") / 3), F.lit(test)))
-    return rows.withColumn("split", F.coalesce(early, F.when(shifted <= train, "train"))).drop("_third", "_t", "_o")
+    """The first train + test rows by `place` 1..n, with split: every third goes to test until that is full, the others
+    to train until that is full, then to test. In closed form: of the places up to p, min(p / 3, test) are thirds."""
+    thirds = F.least(F.floor(F.col("place") / 3), F.lit(test))
+    third = (F.col("place") % 3 == 0) & (F.floor(F.col("place") / 3) <= test)
+    split = F.when(third, "test").when(F.col("place") - thirds <= train, "train").otherwise("test")
+    return ranked.filter(F.col("place") <= train + test).withColumn("split", split)
 
 
 def contiguous_split(ranked: DataFrame, train: int, test: int) -> DataFrame:
@@ -159,10 +235,26 @@ def prompts(rows: DataFrame, rules: tuple[str, ...], *, most: int = 1_500) -> Da
     return grouped.select("batch", F.to_json(F.struct(F.array(*map(F.lit, rules)).alias("rules"), "chunks")).alias("prompt"))
 
 
-def generate(asked: DataFrame, client: Callable[[str], str] | None, *, attempts: int = 3) -> DataFrame:
+def refine_prompts(rows: DataFrame, rules: tuple[str, ...], *, most: int = 700) -> DataFrame:
+    """(batch, prompt): per batch one JSON payload with the rules and its pairs, evidence cut to `most` signs."""
+    item = F.struct("id", "question", "answer", F.substring(F.coalesce("evidence", F.lit("")), 1, most).alias("evidence"))
+    grouped = rows.groupBy("batch").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return grouped.select("batch", F.to_json(F.struct(F.array(*map(F.lit, rules)).alias("rules"), "items")).alias("prompt"))
+
+
+def failure_of(error: Exception) -> str:
+    """What a failed call says: http_<code> with the first signs of the body, timeout, or the error itself."""
+    code, body = getattr(error, "code", None), getattr(error, "body", "")
+    if code is not None:
+        return f"http_{code}: {str(body)[:500]}".rstrip(": ")
+    return "timeout" if isinstance(error, TimeoutError) else str(error)[:200]
+
+
+def generate(asked: DataFrame, client: Callable[[str], str] | None, *, attempts: int = 3, wait: float = 1.5) -> DataFrame:
     """(batch, reply, error): the client's reply to each prompt, called within tasks; a failed batch has an error row.
 
-    Without a client nothing is sent: every batch gets the error `no client`.
+    Between attempts wait, wait + 1, .. seconds pass. Without a client nothing is sent: every batch gets the error
+    `no client`.
     """
 
     def run(parts: Iterator) -> Iterator:
@@ -170,12 +262,14 @@ def generate(asked: DataFrame, client: Callable[[str], str] | None, *, attempts:
             replies, errors = [], []
             for prompt in pdf.prompt:
                 reply, error = None, "no client"
-                for _ in range(attempts if client else 0):
+                for attempt in range(attempts if client else 0):
                     try:
                         reply, error = client(prompt), None
                         break
                     except Exception as e:
-                        error = str(e)[:200]
+                        error = failure_of(e)
+                        if attempt + 1 < attempts:
+                            time.sleep(wait + attempt if wait else 0)
                 replies.append(reply)
                 errors.append(error)
             yield pdf[["batch"]].assign(reply=replies, error=errors)
@@ -183,6 +277,63 @@ def generate(asked: DataFrame, client: Callable[[str], str] | None, *, attempts:
     return asked.mapInPandas(run, "batch long, reply string, error string")
 
 
+def generate_until(chunks: DataFrame, client: Callable[[str], str] | None, path: str, *, target: int, rules: tuple[str, ...], size: int = 5, wave: int = 200, attempts: int = 3, wait: float = 1.5) -> DataFrame:
+    """(chunk_id, question, answer, evidence) of valid items, in waves of batches until `target` distinct pairs are there.
+
+    Each wave is appended to `path` (items and processed): a run that starts again leaves out processed chunks.
+    Chunks of failed batches aren't marked as processed. The waves are the only loop of the driver; calls run in tasks.
+    """
+    spark = chunks.sparkSession
+    empty = {"items": spark.createDataFrame([], "chunk_id string, question string, answer string, evidence string"), "processed": spark.createDataFrame([], "chunk_id string")}
+    for name, frame in empty.items():
+        frame.write.mode("append").parquet(f"{path}/{name}")
+
+    def stored(name: str) -> DataFrame:
+        return spark.read.schema(empty[name].schema).parquet(f"{path}/{name}")
+
+    def pairs() -> int:
+        return stored("items").select(F.lower("question"), F.lower("answer")).distinct().count()
+
+    batched = cut(batches(unprocessed(chunks, cut(stored("processed"))), size, key="chunk_id"))
+    most = batched.agg(F.max("batch")).first()[0]
+    for begin in range(0, (most if most is not None else -1) + 1, wave):
+        if pairs() >= target:
+            break
+        part = batched.filter(F.col("batch").between(begin, begin + wave - 1))
+        replies = cut(generate(prompts(part, rules), client, attempts=attempts, wait=wait))
+        items_of(replies, part).write.mode("append").parquet(f"{path}/items")
+        answered = replies.filter(F.col("error").isNull()).select("batch")
+        part.join(answered, "batch", "left_semi").select("chunk_id").write.mode("append").parquet(f"{path}/processed")
+    return stored("items")
+
+
+def refine(rows: DataFrame, client: Callable[[str], str] | None, *, rules: tuple[str, ...], all_rows: bool = False, size: int = 12, attempts: int = 3, wait: float = 1.5) -> DataFrame:
+    """rows (id, question, answer, evidence, annotation_status) with the client's refinements put in.
+
+    Only questions that need_rewrite are sent, unless all_rows. A question is taken if it ends in a question mark and
+    has twelve signs, an answer if it isn't empty, each by itself; unknown ids and failed batches change nothing.
+    """
+    weak = rows if all_rows else rows.filter(needs_rewrite(F.col("question")))
+    batched = batches(weak.filter(F.col("id").isNotNull()).select("id", "question", "answer", "evidence").dropDuplicates(["id"]), size, key="id")
+    replies = generate(refine_prompts(batched, rules), client, attempts=attempts, wait=wait)
+    items = replies.select(F.explode(T.json_of_reply(F.col("reply"), "items array<struct<id:string,question:string,answer:string>>")["items"]).alias("i")).select("i.*")
+    return refined_rows(rows, items)
+
+
+def refined_rows(rows: DataFrame, items: DataFrame, *, status: str = "llm_refined_needs_human_review") -> DataFrame:
+    """rows with items (id, question, answer) put in, field by field; of several items of an id the least wins."""
+    one = items.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min(F.struct("question", "answer")).alias("i"))
+    new = one.select("id", F.trim("i.question").alias("_q"), F.trim("i.answer").alias("_a"), F.lit(True).alias("_hit"))
+    joined = rows.join(new, "id", "left")
+    asked = F.coalesce(F.col("_q").endswith("?") & (F.length("_q") >= 12), F.lit(False))
+    changed = {
+        "question": F.when(asked, F.col("_q")).otherwise(F.col("question")),
+        "answer": F.coalesce(F.nullif("_a", F.lit("")), "answer"),
+        "annotation_status": F.when(F.col("_hit"), status).otherwise(F.col("annotation_status")),
+    }
+    return joined.withColumns(changed).drop("_q", "_a", "_hit")
+
+
 def items_of(replies: DataFrame, chunks: DataFrame) -> DataFrame:
     """(chunk_id, question, answer, evidence) of all replies: parsed, valid, of a known chunk, each pair once."""
     parsed = replies.select(F.explode(T.json_of_reply(F.col("reply"), "items array<struct<chunk_id:string,question:string,answer:string,evidence:string>>")["items"]).alias("i")).select("i.*")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrine.functions import text as T
-from papyrine.runtime import cut
+from papyrine.runtime import BROADCAST_ROWS, cut, sized_join
 
 
 def postings(passages: DataFrame, *, key: str = "chunk_id") -> DataFrame:
@@ -57,13 +57,16 @@ def lexical_best(queries: DataFrame, index: DataFrame, k: int, *, qid: str = "qi
     """The k best of lexical_scores per query, in blocks of queries and passages.
 
     Common terms make the number of (query, passage, term) triples explode; here they exist only as numpy sums inside a
-    block, and k rows per query and block are shuffled. Terms travel as 64-bit hashes.
+    block, and k rows per query and block are shuffled. Only postings of terms that some query has are moved, once: the
+    queries' weights are broadcast while they are few, and only beyond that postings are copied for blocks of queries.
+    Terms travel as 64-bit hashes.
     """
-    weighted = query_weights(queries, index, qid=qid)
-    nq = max(1, -(-queries.count() // query_block))
+    weighted = cut(query_weights(queries, index, qid=qid))
+    asked = cut(weighted.select("term").distinct())
+    matching = sized_join(index.select(key, "term", "weight"), asked, ["term"], "left_semi", salt_by=F.xxhash64(key))
     np_ = max(1, -(-index.select(F.approx_count_distinct(key)).first()[0] // passage_block))
-    left = weighted.select(F.col(qid).alias("q"), F.xxhash64("term").alias("t"), F.col("q").alias("w")).withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(nq)).cast("int")).withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(np_ - 1))))
-    right = index.select(F.col(key).alias("p"), F.xxhash64("term").alias("t"), F.col("weight").alias("w")).withColumn("pb", F.pmod(F.xxhash64("p"), F.lit(np_)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    left = weighted.select(F.col(qid).alias("q"), F.xxhash64("term").alias("t"), F.col("q").alias("w"))
+    right = matching.select(F.col(key).alias("p"), F.xxhash64("term").alias("t"), F.col("weight").alias("w")).withColumn("pb", F.pmod(F.xxhash64("p"), F.lit(np_)).cast("int"))
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -71,21 +74,31 @@ def lexical_best(queries: DataFrame, index: DataFrame, k: int, *, qid: str = "qi
             terms = np.unique(a.t.to_numpy())
             at = np.minimum(np.searchsorted(terms, b.t.to_numpy()), len(terms) - 1)
             b = b[terms[at] == b.t.to_numpy()]
-            at = np.searchsorted(terms, b.t.to_numpy())
             names, place = np.unique(b.p.to_numpy(), return_inverse=True)
-            weight = b.w.to_numpy()
+            # postings by term, so that a query touches those of its own terms only
+            order = np.argsort(b.t.to_numpy(), kind="stable")
+            tails, weight, place = b.t.to_numpy()[order], b.w.to_numpy()[order], place[order]
             for q, own in a.groupby("q") if len(names) else ():
-                wanted = np.zeros(len(terms))
-                wanted[np.searchsorted(terms, own.t.to_numpy())] = own.w.to_numpy()
-                score = np.round(np.bincount(place, weight * wanted[at], len(names)), 6)[::-1]  # greater keys first among equals
-                shared = np.bincount(place, wanted[at] > 0, len(names))[::-1] > 0
+                begins, ends = np.searchsorted(tails, own.t.to_numpy()), np.searchsorted(tails, own.t.to_numpy(), side="right")
+                hit = np.concatenate([np.arange(x, y) for x, y in zip(begins, ends, strict=True)]) if len(own) else np.zeros(0, np.int64)
+                raised = np.repeat(own.w.to_numpy(), ends - begins)
+                score = np.round(np.bincount(place[hit], weight[hit] * raised, len(names)), 6)[::-1]  # greater keys first among equals
+                shared = np.bincount(place[hit], minlength=len(names))[::-1] > 0
                 top = np.argsort(np.where(shared, -score, np.inf), kind="stable")[:k]
                 top = top[shared[top]]
                 out.append(pd.DataFrame({"q": q, "p": names[::-1][top], "score": score[top]}))
         return pd.concat(out) if out else pd.DataFrame({"q": np.array([], object), "p": np.array([], object), "score": np.zeros(0)})
 
     types = dict(left.dtypes) | dict(right.dtypes)
-    found = left.groupBy("qb", "pb").cogroup(right.groupBy("qb", "pb")).applyInPandas(best, f"q {types['q']}, p {types['p']}, score double")
+    schema = f"q {types['q']}, p {types['p']}, score double"
+    if weighted.count() <= BROADCAST_ROWS:
+        shared_ = left.sparkSession.sparkContext.broadcast(left.toPandas())
+        found = right.groupBy("pb").applyInPandas(lambda b: best(shared_.value, b), schema)
+    else:
+        nq = max(1, -(-queries.count() // query_block))
+        left = left.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(nq)).cast("int")).withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(np_ - 1))))
+        right = right.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+        found = left.groupBy("qb", "pb").cogroup(right.groupBy("qb", "pb")).applyInPandas(best, schema)
     return top_k(found.select(F.col("q").alias(qid), F.col("p").alias(key), "score"), k, qid=qid, key=key)
 
 

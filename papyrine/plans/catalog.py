@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from papyrine.plans import data_queries, retrieval_queries, text_queries  # noqa: F401
+from papyrine.plans import build_queries, data_queries, retrieval_queries, text_queries  # noqa: F401
 from papyrine.plans.registry import QUERIES, SQL
 
 

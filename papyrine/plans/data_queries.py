@@ -115,14 +115,16 @@ def distinct_pairs(table):
     return table("train_qa").agg(F.count_distinct(F.lower("question"), F.lower("answer")).alias("pairs"))
 
 
-@query()
+@query("""WITH roots AS (SELECT url, row_number() OVER (ORDER BY url) AS place, domain FROM (SELECT DISTINCT 'https://' || domain || '/' AS url, domain FROM documents WHERE url IS NOT NULL)),
+linked AS (SELECT d.url, min((r.place, d.url)) AS origin FROM (SELECT DISTINCT url, domain FROM documents WHERE url IS NOT NULL) d JOIN roots r USING (domain) WHERE d.url NOT IN (SELECT url FROM roots) GROUP BY d.url)
+SELECT url, 0::INTEGER AS depth, place::BIGINT AS place FROM roots UNION ALL SELECT url, 1, (row_number() OVER (ORDER BY origin) + (SELECT count(*) FROM roots))::BIGINT FROM linked""")
 def crawl_order(table):
     """Two levels from every site's root over pages that link to the documents of their domain."""
     docs = table("documents").filter(F.col("url").isNotNull()).select("url", "domain").distinct()
     seeds = docs.select(F.concat(F.lit("https://"), F.col("domain"), F.lit("/")).alias("url")).distinct()
     anchors = docs.groupBy("domain").agg(F.array_join(F.transform(F.array_sort(F.collect_list("url")), lambda u: F.concat(F.lit("<a href='"), u, F.lit("'>x</a>"))), "").alias("html"))
     pages = anchors.select(F.concat(F.lit("https://"), F.col("domain"), F.lit("/")).alias("url"), "html")
-    return corpus.crawl(seeds, pages, rounds=2, most=None)
+    return corpus.crawl(seeds, pages, rounds=2)
 
 
 def _sentences(table):
@@ -139,7 +141,7 @@ def answer_candidates(table):
 def _generated(table):
     found = generation.candidates(_sentences(table).select("doc_id", "pos", "source_language", "sentence"))
     asked = found.withColumn("question", generation.question_for(F.col("answer_type"), generation.subject_of(F.col("sentence"))))
-    return asked.withColumn("score", generation.rubric(F.col("question"), F.col("answer"), F.col("answer_type"), F.col("sentence"), F.col("source_language")))
+    return asked.withColumn("score", generation.rubric(F.col("question"), F.col("answer_type"), F.col("source_language")))
 
 
 @query()
@@ -154,8 +156,8 @@ def capped_pairs(table):
     return taken.groupBy("pass").agg(F.count("*").alias("pairs"))
 
 
-@query("""WITH r AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS place FROM embeddings), t AS (SELECT *, place % 3 = 0 AND place / 3 <= 40 AS early, place - least(floor(place / 3), 40) AS shifted FROM r)
-SELECT vec_id, CASE WHEN early THEN 'test' WHEN shifted <= 100 THEN 'train' END AS split FROM t""")
+@query("""WITH RECURSIVE s AS (SELECT 1 AS place, 1 AS train, 0 AS test, 'train' AS split UNION ALL SELECT place + 1, train + (NOT t AND train < 100)::INTEGER, test + (t OR train >= 100)::INTEGER, CASE WHEN t OR train >= 100 THEN 'test' ELSE 'train' END
+FROM (SELECT *, test < 40 AND (place + 1) % 3 = 0 AS t FROM s) WHERE place < 140) SELECT vec_id, split FROM s JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS place FROM embeddings) USING (place)""")
 def interleaved_split(table):
     placed = corpus.with_ordinal(table("embeddings").select("vec_id"), "vec_id", name="place")
     return generation.interleaved_split(placed, 100, 40).select("vec_id", "split")
@@ -179,10 +181,14 @@ def valid_items(table):
     return rows.select("id", F.unix_micros("updated_at").alias("updated_us"), generation.valid_item(F.col("question"), F.col("answer")).alias("valid"))
 
 
-@query("""SELECT id, epoch_us(updated_at) AS updated_us FROM train_qa WHERE contains(lower(question), 'according to the text') OR contains(lower(question), 'in the passage') OR contains(lower(question), 'this document') OR contains(lower(question), 'the above')
+@query("""SELECT id, epoch_us(updated_at) AS updated_us FROM (SELECT id, updated_at, CASE regexp_extract(id, '(\\d+)$', 1)::BIGINT % 40 WHEN 0 THEN 'What is stated in the passage on ' || id || '?' WHEN 1 THEN 'What is it?' WHEN 2 THEN 'Which name is linked with ' || id || '?' ELSE question END AS question FROM train_qa)
+WHERE contains(lower(question), 'according to the text') OR contains(lower(question), 'in the passage') OR contains(lower(question), 'this document') OR contains(lower(question), 'the above')
 OR regexp_matches(lower(question), '^(?:what is (?:it|this|that)|what value is given|which name is linked)\\b')""")
 def weak_questions(table):
-    return table("train_qa").filter(generation.needs_rewrite(F.col("question"))).select("id", F.unix_micros("updated_at").alias("updated_us"))
+    """Weak questions among all, some of which are put in place of the table's, which has none."""
+    n = F.regexp_extract("id", r"(\d+)$", 1).cast("long") % 40
+    made = F.when(n == 0, F.concat(F.lit("What is stated in the passage on "), F.col("id"), F.lit("?"))).when(n == 1, "What is it?").when(n == 2, F.concat(F.lit("Which name is linked with "), F.col("id"), F.lit("?"))).otherwise(F.col("question"))
+    return table("train_qa").filter(generation.needs_rewrite(made)).select("id", F.unix_micros("updated_at").alias("updated_us"))
 
 
 @query("SELECT chunk_id FROM chunks WHERE chunk_index % 2 = 1 AND chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE chunk_index % 2 = 0)")

@@ -174,7 +174,7 @@ def _first_hit_sql(subject: str, rules) -> str:
 
 
 @query(
-    f"""SELECT doc_id, {_first_hit_sql("folded", classify.CATEGORIES)} AS by_fold, {_first_hit_sql("raw", classify.CATEGORIES)} AS by_text FROM (SELECT doc_id,
+    f"""SELECT doc_id, {_first_hit_sql("folded", classify.CATEGORIES)} AS by_fold, {_first_hit_sql("raw", classify.RAW_CATEGORIES)} AS by_text FROM (SELECT doc_id,
 {fold_sql("coalesce(url, '') || ' ' || substring(coalesce(text, ''), 1, 4000)", True)} AS folded,
 lower(coalesce(url, '') || ' ' || coalesce(title, '') || ' ' || substring(coalesce(text, ''), 1, 1200)) AS raw FROM documents)"""
 )
@@ -233,7 +233,7 @@ def fine_sql(c: str) -> str:
     return f"CASE {' '.join(f'WHEN regexp_matches({c}, {chr(39)}{p}{chr(39)}) THEN {chr(39)}{k}{chr(39)}' for k, p in classify.FINE_KINDS)} ELSE 'entity' END"
 
 
-@query(f"SELECT id, epoch_us(updated_at) AS updated_us, {kind_sql('lower(question)')} AS kind, {fine_sql('trim(lower(question), chr(32))')} AS fine FROM train_qa")
+@query(f"SELECT id, epoch_us(updated_at) AS updated_us, {kind_sql('lower(question)')} AS kind, {fine_sql('lower(question)')} AS fine FROM train_qa")
 def question_kinds(table):
     return table("train_qa").select("id", F.unix_micros("updated_at").alias("updated_us"), classify.question_kind(F.col("question")).alias("kind"), classify.fine_kind(F.col("question")).alias("fine"))
 
@@ -249,30 +249,67 @@ def compatible_kinds(table):
     return rows.withColumn("compatible", classify.compatible(F.col("wanted"), F.col("offered")))
 
 
-_INVALID = """(length(trim(answer, ' ')) = 0 OR (kind IN ('tuition', 'score', 'quota', 'count', 'duration') AND NOT regexp_matches(answer, '\\d')) OR (kind = 'date' AND NOT regexp_matches(answer, '\\d{4}'))
-OR (kind = 'url' AND NOT regexp_matches(answer, 'https?://|www\\.')) OR (kind = 'yesno' AND NOT regexp_matches(lower(answer), '^(?:yes|no)\\b')) OR (kind = 'location' AND regexp_matches(answer, '\\d'))
-OR (kind = 'entity' AND len(list_filter(regexp_split_to_array(trim(answer, ' '), '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '')) > 25))"""
+_INVALID = """(answer = '' OR CASE kind WHEN 'program' THEN regexp_matches(lower(answer), '[0-9]|points|vnd|tuition|semester|year')
+WHEN 'location' THEN len(list_filter(regexp_split_to_array(trim(answer, ' '), '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '')) > 5 OR contains(lower(answer), 'university')
+WHEN 'subjects' THEN NOT regexp_matches(lower(answer), '\\b(mathematics|literature|english|history|geography|physics|chemistry|biology)\\b')
+WHEN 'degree' THEN NOT contains(lower(answer), 'degree') AND NOT contains(lower(answer), 'engineer') AND NOT contains(lower(answer), 'bachelor')
+WHEN 'score' THEN NOT regexp_matches(answer, '[0-9]') WHEN 'tuition' THEN NOT regexp_matches(answer, '[0-9]') WHEN 'count' THEN NOT regexp_matches(answer, '[0-9]')
+WHEN 'duration' THEN NOT regexp_matches(answer, '[0-9]') WHEN 'date' THEN NOT regexp_matches(answer, '[0-9]')
+WHEN 'url' THEN NOT starts_with(lower(answer), 'http://') AND NOT starts_with(lower(answer), 'https://') WHEN 'yesno' THEN lower(answer) NOT IN ('yes', 'no') ELSE false END)"""
+#: Questions whose kinds reach every branch, beside those of the table.
+_ASKED = [("Does it offer a degree?", "Yes"), ("Does it rank higher?", "It does."), ("Which is higher, A or B?", "A"), ("Which of the majors pay most?", "Law"), ("Which program has it?", "30 points"), ("What are the subjects of A00?", "Mathematics; Physics"), ("Which combination counts?", "D01"), ("How long is the study period?", "four years"), ("When was it founded?", "in 1945"), ("What is the website?", "www.example.org"), ("What is the homepage?", "https://example.org"), ("Where is it?", "Hue"), ("In which city is the University?", "at the University of X"), ("What degree is given?", "Bachelor's degree"), ("What degree follows?", "a diploma"), ("What is it recognized as?", "a centre"), ("Who leads it?", ""), ("How many sites are there?", "several")]
+_ASKED_SQL = "SELECT 'made_' || i AS id, NULL::TIMESTAMP AS updated_at, q AS question, a AS answer FROM (VALUES " + ", ".join("({}, '{}', '{}')".format(i, q, a.replace("'", "''")) for i, (q, a) in enumerate(_ASKED)) + ") v(i, q, a)"
+
+
+def _asked(table):
+    rows = table("train_qa").filter(F.col("answer").isNotNull()).select("id", F.unix_micros("updated_at").alias("updated_us"), "question", "answer")
+    made = rows.sparkSession.createDataFrame([(f"made_{i}", None, q, a) for i, (q, a) in enumerate(_ASKED)], "id string, updated_us long, question string, answer string")
+    return rows.unionByName(made)
 
 
 @query(
-    f"""SELECT id, epoch_us(updated_at) AS updated_us, {_INVALID} AS invalid, CASE WHEN {_INVALID} THEN -8.0 WHEN kind IN ('tuition', 'score', 'quota', 'count', 'duration', 'date', 'url') THEN 3.0
-WHEN kind = 'entity' AND len(list_filter(regexp_split_to_array(trim(answer, ' '), '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '')) <= 8 THEN 2.0 ELSE 0.0 END AS bonus
-FROM (SELECT id, updated_at, answer, {fine_sql('trim(lower(question), chr(32))')} AS kind FROM train_qa WHERE answer IS NOT NULL)"""
+    f"""SELECT id, epoch_us(updated_at) AS updated_us, kind, {_INVALID} AS invalid, CASE WHEN {_INVALID} THEN -8.0 WHEN kind IN ('program', 'degree', 'subjects', 'location', 'yesno') THEN 3.0
+WHEN kind IN ('score', 'tuition', 'count', 'duration', 'date') THEN 2.0 ELSE 0.0 END AS bonus
+FROM (SELECT id, updated_at, answer, {fine_sql('lower(question)')} AS kind FROM (SELECT id, updated_at, question, answer FROM train_qa WHERE answer IS NOT NULL UNION ALL {_ASKED_SQL}))"""
 )
 def answer_validity(table):
-    rows = table("train_qa").filter(F.col("answer").isNotNull()).withColumn("kind", classify.fine_kind(F.col("question")))
-    return rows.select("id", F.unix_micros("updated_at").alias("updated_us"), classify.invalid_for_kind(F.col("answer"), F.col("kind")).alias("invalid"), classify.kind_bonus(F.col("answer"), F.col("kind")).alias("bonus"))
+    rows = _asked(table).withColumn("kind", classify.fine_kind(F.col("question")))
+    return rows.select("id", "updated_us", "kind", classify.invalid_for_kind(F.col("answer"), F.col("kind")).alias("invalid"), classify.kind_bonus(F.col("answer"), F.col("kind")).alias("bonus"))
 
 
 @query(
-    r"""WITH h AS (SELECT url, epoch_us(fetched_at) AS fetched_us, decode(body) AS html FROM fetched_resources WHERE body IS NOT NULL AND status = 'ok' AND content_type LIKE 'text/html%' AND try(decode(body)) IS NOT NULL)
-SELECT url, fetched_us, count(*) AS n FROM h GROUP BY ALL HAVING false"""
+    f"""SELECT id, epoch_us(updated_at) AS updated_us, CASE WHEN kind = 'location' AND regexp_matches(answer, '(?i)\\bHue\\b') THEN 'Hue' WHEN kind = 'degree' AND regexp_matches(answer, '(?i)\\bBachelor(''s)?\\s+degree\\b') THEN 'Bachelor degree'
+WHEN kind = 'degree' AND regexp_matches(answer, '(?i)\\bEngineer(ing)?\\s+degree\\b') THEN 'Engineer degree' ELSE {clean_answer_sql('answer')} END AS answer
+FROM (SELECT id, updated_at, answer, {fine_sql('lower(question)')} AS kind FROM (SELECT id, updated_at, question, answer FROM train_qa WHERE answer IS NOT NULL UNION ALL {_ASKED_SQL}))"""
 )
-def html_unreadable(table):
-    """Fetches of HTML whose title can't be read: none."""
-    pages = table("fetched_resources").filter(F.col("body").isNotNull() & (F.col("status") == "ok") & F.col("content_type").startswith("text/html"))
-    page = html.decoded(F.col("body"), F.col("content_type"))
-    return pages.filter(html.title(page, F.lit("?")).isNull()).groupBy("url", F.unix_micros("fetched_at").alias("fetched_us")).agg(F.count("*").alias("n"))
+def canonical_answers(table):
+    rows = _asked(table)
+    return rows.select("id", "updated_us", classify.normalized_for_kind(F.col("answer"), classify.fine_kind(F.col("question")), places=("Hue",)).alias("answer"))
+
+
+@query(
+    f"""WITH k AS (SELECT DISTINCT {fine_sql('lower(question)')} AS kind FROM ({_ASKED_SQL}))
+SELECT a.kind AS wanted, b.kind AS offered, CASE WHEN a.kind = b.kind THEN true WHEN a.kind IN ('program', 'description') THEN b.kind IN ('entity', 'description') WHEN a.kind = 'entity' THEN b.kind NOT IN ('tuition', 'score', 'count', 'duration') ELSE false END AS compatible FROM k a, k b"""
+)
+def compatible_fine_kinds(table):
+    """All pairs of the kinds of a fixed list of questions, as many as there are kinds."""
+    kinds = table("train_qa").sparkSession.createDataFrame([(q,) for q, _ in _ASKED], "question string").select(classify.fine_kind(F.col("question")).alias("kind")).distinct()
+    offered = kinds.agg(F.collect_set("kind").alias("all"))
+    rows = kinds.withColumn("one", F.lit(1)).join(F.broadcast(offered.withColumn("one", F.lit(1))), "one").select(F.col("kind").alias("wanted"), F.explode("all").alias("offered"))
+    return rows.withColumn("compatible", classify.compatible_fine(F.col("wanted"), F.col("offered")))
+
+
+@query(
+    r"""WITH h AS (SELECT url, epoch_us(fetched_at) AS fetched_us, try(decode(body)) AS html FROM fetched_resources WHERE body IS NOT NULL AND status = 'ok' AND content_type IN ('text/html', 'text/html; charset=utf-8'))
+SELECT url, fetched_us, trim(regexp_replace(coalesce(nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ''), nullif(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), ''), '?'), '[ \t\n\x0b\f\r]+', ' ', 'g'), ' ') AS title, count(*) AS n
+FROM h WHERE html IS NOT NULL AND NOT contains(html, '&') GROUP BY ALL"""
+)
+def html_titles(table):
+    """Titles of fetches that are declared or taken as UTF-8, by the pattern rules (entities apart)."""
+    pages = table("fetched_resources").filter(F.col("body").isNotNull() & (F.col("status") == "ok") & F.col("content_type").isin("text/html", "text/html; charset=utf-8"))
+    page = pages.select("url", F.unix_micros("fetched_at").alias("fetched_us"), html.decoded(F.col("body"), F.col("content_type")).alias("html"), F.is_valid_utf8(F.col("body").cast("string")).alias("valid"))
+    good = page.filter(F.col("valid") & ~F.col("html").contains("&"))
+    return good.groupBy("url", "fetched_us", F.substring(html.title(F.col("html"), F.lit("?"), most=10_000), 1, 10_000).alias("title")).agg(F.count("*").alias("n"))
 
 
 @query()

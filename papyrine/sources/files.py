@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,14 +29,22 @@ def json_rows(spark: SparkSession, path: str, schema: str | T.StructType) -> Dat
 def strict_csv(spark: SparkSession, path: str, fields: list[str], *, blanks: bool = False) -> DataFrame:
     """A CSV whose header is exactly `fields`; extra values, and blank ones unless allowed, are errors with their line."""
     header = spark.read.text(path).first()
-    found = (header[0] if header else "").lstrip("﻿").split(",")
-    if [f.strip().strip('"') for f in found] != fields:
-        raise ValueError(f"{path}: header {found} isn't {fields}")
+    found = [f.strip() for f in next(csv.reader([(header[0] if header else "").lstrip("\ufeff")]), [])]
+    if found != fields:
+        raise ValueError(f"{path}, line 1: header {found} isn't {fields}")
+
+    def line_of(record: str) -> int | None:
+        first = record.split("\n")[0].rstrip("\r")
+        hit = lines(spark, path, blanks=True).filter(F.col("value") == first).agg(F.min("line_no")).first()[0]
+        return None if hit is None else hit + 1
+
     schema = T.StructType([T.StructField(f, T.StringType()) for f in fields] + [T.StructField("_corrupt", T.StringType())])
-    rows = spark.read.schema(schema).csv(path, header=True, enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", multiLine=True, escape='"').cache()
-    broken = rows.filter(F.col("_corrupt").isNotNull()).select("_corrupt").first()
+    rows = spark.read.schema(schema).csv(path, header=True, enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", multiLine=True, escape='"')
+    # all columns are read, since a record is broken by its other fields
+    broken = rows.filter(F.col("_corrupt").isNotNull()).first()
+    broken = [broken["_corrupt"]] if broken else None
     if broken:
-        raise ValueError(f"{path}: {broken[0]}")
+        raise ValueError(f"{path}, line {line_of(broken[0])}: {broken[0]}")
     out = rows.select(*(F.coalesce(F.trim(f), F.lit("")).alias(f) for f in fields))
     if not blanks:
         empty = out.filter(F.least(*(F.length(f) for f in fields)) == 0 if len(fields) > 1 else F.length(fields[0]) == 0).first()
@@ -62,9 +72,15 @@ def parse_env(text: str, known: dict[str, str]) -> dict[str, str]:
     return out | known
 
 
-def fetch(urls: DataFrame, client: Callable[[str], tuple[int, str, bytes]] | None, *, retries: int = 1) -> DataFrame:
+#: Headers that a client of fetch() should send: what it takes, and bodies packed.
+HEADERS = {"User-Agent": "Mozilla/5.0 (compatible; papyrine)", "Accept": "text/html,application/xhtml+xml,application/pdf;q=0.9,*/*;q=0.8", "Accept-Encoding": "gzip, deflate"}
+
+
+def fetch(urls: DataFrame, client: Callable[[str], tuple[int, str, bytes]] | None, *, retries: int = 1, wait: float = 0.4) -> DataFrame:
     """(url, status, content_type, body, error): fetches within tasks by an injected client; failures become rows.
 
+    Between attempts `wait` seconds pass. The client sends its own headers; it may take HEADERS.
+
     Without a client every URL has status `skipped`. A gzip or deflate body is expanded.
     """
 
@@ -76,7 +92,9 @@ def fetch(urls: DataFrame, client: Callable[[str], tuple[int, str, bytes]] | Non
             rows = []
             for url in pdf.url:
                 row = {"url": url, "status": "skipped", "content_type": None, "body": None, "error": None}
-                for _ in range(retries + 1 if client else 0):
+                for attempt in range(retries + 1 if client else 0):
+                    if attempt:
+                        time.sleep(wait)
                     try:
                         code, kind, body = client(url)
                         if body[:2] == b"\x1f\x8b":
@@ -119,6 +137,40 @@ def write_lines(rows: DataFrame, path: str, *, order: str = "line_no", value: st
     rows.orderBy(order).select(F.regexp_replace(value, r"[\r\n]+", " ").alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def split_lines(rows: DataFrame) -> DataFrame:
+    """(split, line_no, question, answers) of annotation rows: alternatives of an answer joined by `;`, lines from 0 in order of id."""
+    joined = F.coalesce(F.array_join("answers", ";"), F.col("answer"), F.lit(""))
+    flat = lambda c: F.regexp_replace(c, r"[\r\n]+", " ")
+    order = F.row_number().over(Window.partitionBy("split").orderBy("id", "question"))
+    return rows.select("split", (order - 1).alias("line_no"), flat(F.coalesce("question", F.lit(""))).alias("question"), flat(joined).alias("answers"))
+
+
+def write_splits(rows: DataFrame, path: str, *, splits: tuple[str, ...] = ("train", "test")) -> None:
+    """questions.txt and reference_answers.txt of each split as text folders, line for line."""
+    lines = split_lines(rows)
+    for split in splits:
+        own = lines.filter(F.col("split") == split)
+        write_lines(own, f"{path}/{split}/questions.txt", value="question")
+        write_lines(own, f"{path}/{split}/reference_answers.txt", value="answers")
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """JSON lines, one object per row, in parallel; null fields are written."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def snapshots(fetched: DataFrame) -> DataFrame:
+    """(name, url, body): each fetched body under its file name; PDFs by path or content type, else HTML. Null bodies have none."""
+    pdf = F.coalesce(F.lower(F.parse_url("url", F.lit("PATH"))).endswith(".pdf"), F.lit(False)) | F.coalesce(F.lower("content_type").contains("pdf"), F.lit(False))
+    name = F.when(pdf, safe_name(F.col("url"), ".pdf")).otherwise(safe_name(F.col("url"), ".html"))
+    return fetched.filter(F.col("body").isNotNull()).select(name.alias("name"), "url", "body")
+
+
+def write_snapshots(fetched: DataFrame, path: str) -> None:
+    """The snapshots as a binary column, so that millions of small bodies make no small files."""
+    snapshots(fetched).write.mode("overwrite").parquet(path)
+
+
 def write_traces(retrieved: DataFrame, answers: DataFrame, path: str) -> None:
     """JSON lines, one per question: its answer and the retrieved passages by rank."""
     nested(retrieved, answers).write.mode("overwrite").json(path)
