@@ -128,27 +128,46 @@ def mean_pool(vectors: DataFrame, by: str, column: str = "embedding") -> DataFra
     return pooled.select(by, unit(column).alias(column))
 
 
+#: Numbers of the queries' vectors up to which they are broadcast: 32 MB.
+SHARED_NUMBERS = 4_000_000
+
+
+def dense_best(a: pd.DataFrame, b: pd.DataFrame, k: int) -> pd.DataFrame:
+    """(q, p, score): the k best passages of b (p, v) for each query of a (q, v)."""
+    if a.empty or b.empty:
+        return pd.DataFrame({"q": np.array([], object), "p": np.array([], object), "score": np.zeros(0)})
+    b = b.sort_values("p", ascending=False)
+    scores = np.round(np.stack(a.v).astype(np.float64) @ np.stack(b.v).astype(np.float64).T, 6)
+    at = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    return pd.DataFrame({"q": np.repeat(a.q.to_numpy(), at.shape[1]), "p": b.p.to_numpy()[at.ravel()], "score": np.take_along_axis(scores, at, 1).ravel()})
+
+
 def dense_search(queries: DataFrame, passages: DataFrame, k: int = 8, *, qid: str = "qid", key: str = "vec_id", column: str = "embedding", query_block: int = 512, passage_block: int = 8_192) -> DataFrame:
     """(qid, rank, key, score): exact inner products of all queries with all passages, in blocks.
 
-    Queries fall into blocks of about query_block, passages of about passage_block; each pair of blocks is one group
-    whose matrix product keeps its k best, so no score but k per query and block is shuffled.
+    While the queries' vectors are small together they are broadcast and the passages are scanned once, where they lie.
+    Beyond that queries fall into blocks of about query_block, passages of about passage_block, and each pair of blocks
+    is one group. Either way a matrix product keeps its k best, so no score but k per query and batch is shuffled.
     """
-    nq = max(1, -(-queries.count() // query_block))
+    asked = queries.count()
+    size = queries.agg(F.max(F.size(column))).first()[0] or 0
+    if asked * size <= SHARED_NUMBERS:
+        shared = queries.sparkSession.sparkContext.broadcast(queries.select(F.col(qid).alias("q"), F.col(column).alias("v")).toPandas())
+
+        def scan(parts):
+            for b in parts:
+                yield dense_best(shared.value, b, k)
+
+        kinds = dict(queries.dtypes) | dict(passages.dtypes)
+        found = passages.select(F.col(key).alias("p"), F.col(column).alias("v")).mapInPandas(scan, f"q {kinds[qid]}, p {kinds[key]}, score double")
+        return top_k(found.select(F.col("q").alias(qid), F.col("p").alias(key), "score"), k, qid=qid, key=key)
+    nq = max(1, -(-asked // query_block))
     np_ = max(1, -(-passages.count() // passage_block))
     left = queries.select(F.col(qid).alias("q"), F.col(column).alias("v")).withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(nq)).cast("int")).withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(np_ - 1))))
     right = passages.select(F.col(key).alias("p"), F.col(column).alias("v")).withColumn("pb", F.pmod(F.xxhash64("p"), F.lit(np_)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
 
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"q": np.array([], object), "p": np.array([], object), "score": np.zeros(0)})
-        b = b.sort_values("p", ascending=False)
-        scores = np.round(np.stack(a.v).astype(np.float64) @ np.stack(b.v).astype(np.float64).T, 6)
-        at = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"q": np.repeat(a.q.to_numpy(), at.shape[1]), "p": b.p.to_numpy()[at.ravel()], "score": np.take_along_axis(scores, at, 1).ravel()})
-
     types = dict(left.dtypes) | dict(right.dtypes)
-    found = left.groupBy("qb", "pb").cogroup(right.groupBy("qb", "pb")).applyInPandas(best, f"q {types['q']}, p {types['p']}, score double")
+    found = left.groupBy("qb", "pb").cogroup(right.groupBy("qb", "pb")).applyInPandas(lambda a, b: dense_best(a, b, k), f"q {types['q']}, p {types['p']}, score double")
     return top_k(found.select(F.col("q").alias(qid), F.col("p").alias(key), "score"), k, qid=qid, key=key)
 
 
@@ -163,18 +182,22 @@ def hybrid_search(queries: DataFrame, passages: DataFrame, index: DataFrame, k:
     """(qid, rank, key, score): weight x inner product + (1 - weight) x lexical score, over all passages.
 
     queries have (qid, text, column), passages (key, column), index is the passages' tfidf(). Both scores of every query
-    and passage are added inside a pair of blocks, which keeps the k best sums; neither side is cut before. A text
-    without known terms has lexical score 0. All three should be materialised, since they are read more than once.
+    and passage are added inside a batch, which keeps the k best sums; neither side is cut before. Only postings of terms
+    that some query has are gathered. While the queries are few they are broadcast and the passages are scanned once,
+    beyond that both fall into blocks. A text without known terms has lexical score 0. All three should be
+    materialised, since they are read more than once.
     """
 
     def listed(rows: DataFrame, by: str, value: str) -> DataFrame:
         pairs = F.collect_list(F.struct(F.xxhash64("term").alias("t"), F.col(value).alias("w")))
         return rows.groupBy(by).agg(pairs.alias("x")).select(by, F.col("x.t").alias("t"), F.col("x.w").alias("w"))
 
-    nq = max(1, -(-queries.count() // query_block))
-    np_ = max(1, -(-passages.count() // passage_block))
-    asked = queries.select(qid, column).join(listed(query_weights(queries, index, qid=qid), qid, "q"), qid, "left")
-    stored = passages.select(key, column).join(listed(index, key, "weight"), key, "left")
+    weighted = cut(query_weights(queries, index, qid=qid))
+    matching = sized_join(index.select(key, "term", "weight"), cut(weighted.select("term").distinct()), ["term"], "left_semi", salt_by=F.xxhash64(key))
+    asked = cut(queries.select(qid, column).join(listed(weighted, qid, "q"), qid, "left"))
+    stored = passages.select(key, column).join(listed(matching, key, "weight"), key, "left")
+    numbers = asked.agg(F.sum(F.size(column) + 2 * F.greatest(F.coalesce(F.size("t"), F.lit(0)), F.lit(0)))).first()[0] or 0
+    nq, np_ = (1, 1) if numbers <= SHARED_NUMBERS else (max(1, -(-queries.count() // query_block)), max(1, -(-passages.count() // passage_block)))
     left = asked.select(F.col(qid).alias("q"), F.col(column).alias("v"), "t", "w").withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(nq)).cast("int")).withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(np_ - 1))))
     right = stored.select(F.col(key).alias("p"), F.col(column).alias("v"), "t", "w").withColumn("pb", F.pmod(F.xxhash64("p"), F.lit(np_)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
 
@@ -199,7 +222,17 @@ def hybrid_search(queries: DataFrame, passages: DataFrame, index: DataFrame, k:
         return pd.DataFrame({"q": np.repeat(a.q.to_numpy(), top.shape[1]), "p": b.p.to_numpy()[top.ravel()], "score": np.take_along_axis(scores, top, 1).ravel()})
 
     types = dict(left.dtypes) | dict(right.dtypes)
-    found = left.groupBy("qb", "pb").cogroup(right.groupBy("qb", "pb")).applyInPandas(best, f"q {types['q']}, p {types['p']}, score double")
+    schema = f"q {types['q']}, p {types['p']}, score double"
+    if numbers <= SHARED_NUMBERS:
+        shared = left.sparkSession.sparkContext.broadcast(left.select("q", "v", "t", "w").toPandas())
+
+        def scan(parts):
+            for b in parts:
+                yield best(shared.value, b)
+
+        found = right.select("p", "v", "t", "w").mapInPandas(scan, schema)
+    else:
+        found = left.groupBy("qb", "pb").cogroup(right.groupBy("qb", "pb")).applyInPandas(best, schema)
     return top_k(found.select(F.col("q").alias(qid), F.col("p").alias(key), "score"), k, qid=qid, key=key)
 
 

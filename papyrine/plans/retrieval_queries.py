@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from papyrine.functions import metrics
 from papyrine.functions import text as T
 from papyrine.operators import chunking, evaluation, reader, retrieval
+from papyrine.plans.data_queries import WORDS_SQL
 from papyrine.plans.registry import query
-from papyrine.plans.text_queries import label_sql, normal_sql, terms_sql, tokens_sql
+from papyrine.plans.text_queries import fold_sql, label_sql, normal_sql, sentences_sql, terms_sql, tokens_sql
 from papyrine.runtime import cut
 
 
@@ -75,21 +76,6 @@ def dense_topk(table):
     return retrieval.dense_search(vectors.filter(F.col("vec_id") % 50 == 0).withColumnRenamed("vec_id", "qid"), vectors, 8)
 
 
-@query("""WITH d AS (SELECT a.vec_id AS qid, b.vec_id AS chunk_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY score DESC, b.vec_id DESC) <= 50),
-l AS (SELECT a.vec_id AS qid, b.vec_id AS chunk_id, 1.0 / (1 + abs(a.vec_id - b.vec_id)) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 50 = 0 AND abs(a.vec_id - b.vec_id) < 100),
-s AS (SELECT qid, chunk_id, round(0.7 * coalesce(d.score, 0) + (1 - 0.7) * coalesce(l.score, 0), 6) AS score FROM d FULL JOIN l USING (qid, chunk_id))
-SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id DESC)::INTEGER AS rank, chunk_id, score FROM s QUALIFY rank <= 12""")
-def hybrid_topk(table):
-    """Fusion of two given lists of scores, cut as the SQL states; hybrid_search is the search over all passages."""
-    vectors = table("embeddings")
-    asked = vectors.filter(F.col("vec_id") % 50 == 0)
-    dense = retrieval.dense_search(asked.withColumnRenamed("vec_id", "qid"), vectors, 50).select("qid", F.col("vec_id").alias("chunk_id"), "score")
-    a, b = asked.select(F.col("vec_id").alias("qid"), "label"), vectors.select(F.col("vec_id").alias("chunk_id"), "label")
-    gap = F.abs(F.col("qid") - F.col("chunk_id"))
-    lexical = a.join(b, "label").filter(gap < 100).select("qid", "chunk_id", (1.0 / (1 + gap)).alias("score"))
-    return retrieval.hybrid(dense, lexical, 12)
-
-
 @query(f"SELECT vec_id, list_transform({_UNIT}, lambda x: round(x, 6)) AS embedding FROM embeddings")
 def unit_vectors(table):
     return table("embeddings").select("vec_id", F.transform(retrieval.unit("embedding"), lambda x: F.round(x, 6)).alias("embedding"))
@@ -111,7 +97,12 @@ def keyword_scores(table):
     return rows.select("id", F.unix_micros("updated_at").alias("updated_us"), F.round(metrics.keyword_score(T.tokens(F.col("question")), T.tokens(F.col("evidence"))), 6).alias("score"))
 
 
-@query()
+@query(f"""WITH {QUESTIONS_SQL}, {CORPUS_SQL}, {search_sql('corpus', 8)},
+s AS (SELECT qid, rank, score, question, unnest(s) AS sentence, generate_subscripts(s, 1) AS pos FROM (SELECT r.qid, r.rank, r.score, questions.text AS question, {sentences_sql('corpus.text')} AS s FROM ranked r JOIN corpus USING (chunk_id) JOIN questions ON questions.qid = r.qid)),
+t AS (SELECT qid, rank, pos, sentence, score, {tokens_sql('question')} AS q, {tokens_sql('sentence')} AS t FROM s),
+k AS (SELECT qid, rank, pos, sentence, {fold_sql('sentence')} AS fold, round(score + coalesce(list_sum(list_transform(list_distinct(q), lambda w: CASE WHEN len(list_filter(t, lambda x: x = w)) > 0 THEN 1 + ln(len(list_filter(t, lambda x: x = w))) ELSE 0.0 END)), 0), 6) AS score FROM t),
+d AS (SELECT * FROM k WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY qid, fold ORDER BY score DESC, rank, pos) = 1)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank, pos)::INTEGER AS place, sentence, score FROM d QUALIFY place <= 8""")
 def best_sentences(table):
     questions, found = _retrieved(table)
     return reader.best_sentences(questions, found)
@@ -128,7 +119,8 @@ def rule_candidates(table):
     return reader.best_candidate(reader.candidates(questions, found, least=0.25))
 
 
-@query()
+@query(f"""WITH {QUESTIONS_SQL}, {CORPUS_SQL}, {search_sql('corpus', 8)}, f AS (SELECT qid, rank, text, coalesce(sum(length(text)) OVER (PARTITION BY qid ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM ranked JOIN corpus USING (chunk_id))
+SELECT qid, string_agg(substring(text, 1, 2200 - before), chr(10) ORDER BY rank) AS context FROM f WHERE before < 2200 GROUP BY qid""")
 def reader_context(table):
     return reader.context(_retrieved(table)[1])
 
@@ -243,7 +235,13 @@ def chunk_of_answer(table):
     return chunking.with_answer(table("train_qa").select("id", "source_id", "question", "answer").distinct(), table("chunks"))
 
 
-@query()
+_SENTENCE_WORDS = WORDS_SQL.replace("text", "lower(sentence)")
+_CHUNK_WORDS = WORDS_SQL.replace("text", "lower(text)")
+
+
+@query(f"""WITH p AS (SELECT DISTINCT id, source_id, evidence AS sentence FROM train_qa WHERE evidence IS NOT NULL), j AS (SELECT p.id, c.chunk_id, c.chunk_index, coalesce(contains(c.text, substring(sentence, 1, 80)), false) AS hit,
+CASE WHEN c.text IS NULL THEN 0 ELSE len(list_intersect(list_distinct(({_SENTENCE_WORDS})[1:20]), list_distinct({_CHUNK_WORDS}))) END AS shared FROM p LEFT JOIN chunks c ON c.document_id = p.source_id)
+SELECT id, CASE WHEN hit OR shared > 0 THEN chunk_id END AS chunk_id FROM j QUALIFY row_number() OVER (PARTITION BY id ORDER BY hit DESC, CASE WHEN hit THEN 0 ELSE shared END DESC, chunk_index, chunk_id DESC) = 1""")
 def chunk_of_sentence(table):
     rows = table("train_qa").filter(F.col("evidence").isNotNull()).select("id", "source_id", F.col("evidence").alias("sentence")).distinct()
     return chunking.with_sentence(rows, table("chunks"))
@@ -275,16 +273,25 @@ def _letters(texts):
     return np.array([[t.lower().count(c) for c in "abcdefgh"] for t in texts], dtype=float).reshape(len(texts), 8)
 
 
-@query()
+def letters_sql(c: str) -> str:
+    """Unit counts of the letters a to h, in single precision as an encoder gives them."""
+    counts = f"list_transform(['a', 'b', 'c', 'd', 'e', 'f', 'g', 'h'], lambda x: length(lower({c})) - length(replace(lower({c}), x, '')))"
+    return f"list_transform({counts}, lambda n: (n::FLOAT / (CASE WHEN list_sum({counts}) = 0 THEN 1 ELSE sqrt(list_sum(list_transform({counts}, lambda m: m * m))) END)::FLOAT)::FLOAT)"
+
+
+@query(f"SELECT chunk_id, {letters_sql("('passage: ' || coalesce(text, ''))")} AS embedding FROM chunks")
 def encoded_passages(table):
     """Passages under an injected encoder, here counts of letters."""
     return retrieval.embedded(table("chunks").select("chunk_id", "text"), _letters, prefix="passage: ")
 
 
-@query()
-def hybrid_search(table):
+@query(f"""WITH {QUESTIONS_SQL}, {CORPUS_SQL}, {search_sql('corpus', 8)}, lexical AS (SELECT qid, chunk_id, sum(q.w / qn.norm * raw.w / norm.norm) AS l FROM q JOIN qn USING (qid) JOIN raw USING (term) JOIN norm USING (chunk_id) GROUP BY ALL),
+pv AS (SELECT chunk_id, {letters_sql("('passage: ' || coalesce(text, ''))")} AS v FROM corpus), qv AS (SELECT qid, {letters_sql("('query: ' || text)")} AS v FROM questions),
+mixed AS (SELECT qv.qid, pv.chunk_id, round(0.7 * list_inner_product(qv.v::DOUBLE[], pv.v::DOUBLE[]) + (1 - 0.7) * coalesce(l, 0), 6) AS score FROM qv CROSS JOIN pv LEFT JOIN lexical ON lexical.qid = qv.qid AND lexical.chunk_id = pv.chunk_id)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id DESC)::INTEGER AS rank, chunk_id, score FROM mixed QUALIFY rank <= 12""")
+def hybrid_topk(table):
     """The best passages by dense and lexical scores together, over all passages, with counts of letters as vectors."""
-    passages, questions = cut(_corpus(table).select("chunk_id", "text")), _questions(table)
+    passages, questions = cut(_corpus(table).select("chunk_id", "text")), cut(_questions(table))
     vectors = cut(retrieval.embedded(passages, _letters, prefix="passage: "))
     asked = cut(questions.select("qid", "text").join(retrieval.embedded(questions.select("qid", "text"), _letters, key="qid", prefix="query: "), "qid"))
     return retrieval.hybrid_search(asked, vectors, cut(retrieval.tfidf(passages)), 12)

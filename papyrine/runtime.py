@@ -7,9 +7,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a side that was counted may be broadcast; at 64 bytes a row this is 32 MB.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes up to which a side that was measured may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -72,6 +73,21 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return packed.select(*[c for c in df.columns if c not in columns], *(F.col("_once")[n].alias(n) for n in columns))
 
 
+def bytes_of(df: DataFrame) -> Column:
+    """About how many bytes a row takes: strings and arrays by their length, other values as eight."""
+    out = F.lit(8)
+    for field in df.schema.fields:
+        kind, c = field.dataType, F.col(f"`{field.name}`")
+        if isinstance(kind, T.ArrayType):
+            inner = F.aggregate(c, F.lit(0), lambda s, x: s + 16 + F.coalesce(F.octet_length(x), F.lit(0))) if isinstance(kind.elementType, (T.StringType, T.BinaryType)) else F.size(c) * 8
+            out = out + 16 + F.greatest(F.coalesce(inner, F.lit(0)), F.lit(0))
+        elif isinstance(kind, (T.StringType, T.BinaryType)):
+            out = out + 16 + F.coalesce(F.octet_length(c), F.lit(0))
+        else:
+            out = out + 8
+    return out
+
+
 def sized_join(
     left: DataFrame,
     right: DataFrame,
@@ -85,13 +101,14 @@ def sized_join(
 ) -> DataFrame:
     """Join a large, possibly skewed left side with a right side that is unique by keys.
 
-    The right side, which should be materialised, is counted (or `rows` says its size). Up to `limit` rows it is
-    broadcast. Beyond that both sides are spread over `salts` copies of each key, so that a key with a third of
+    The right side, which should be materialised, is measured (or `rows` says how many small rows it has). Up to `limit`
+    rows and BROADCAST_BYTES it is broadcast. Beyond either both sides are spread over `salts` copies of each key, so that a key with a third of
     all left rows still ends up in many tasks. `how` is inner, left or left_semi.
     """
+    size = 0
     if rows is None:
-        rows = right.count()
-    if rows <= limit:
+        rows, size = right.agg(F.count("*"), F.coalesce(F.sum(bytes_of(right).cast("long")), F.lit(0))).first()
+    if rows <= limit and size <= BROADCAST_BYTES:
         return left.join(F.broadcast(right), keys, how)
     by = F.xxhash64(*left.columns) if salt_by is None else salt_by
     salted = left.withColumn("_salt", F.pmod(by, F.lit(salts)).cast("int"))

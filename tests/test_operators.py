@@ -173,9 +173,14 @@ def test_crawl_levels(spark):
     assert {r.url.split("example")[1]: r.depth for r in got.collect()} == {"/": 0, "/x": 1, "/y": 1, "/z": 2}
 
 
-def test_sized_join_salts_beyond_the_limit(spark):
+def test_sized_join_salts_beyond_the_limit(spark, monkeypatch):
     left = spark.range(1000).select("id", F.floor(F.col("id") % 3 / 2).alias("k"))
     right = spark.createDataFrame([(0, "a"), (1, "b")], "k long, v string")
     small = sorted(tuple(r) for r in runtime.sized_join(left, right, ["k"]).select("id", "v").collect())
     large = sorted(tuple(r) for r in runtime.sized_join(left, right, ["k"], limit=0).select("id", "v").collect())
     assert small == large and len(small) == 1000
+    wide = right.withColumn("v", F.array(F.repeat("v", 1_000), F.lit(None).cast("string"))).withColumn("n", F.lit(None).cast("array<int>"))
+    assert wide.agg(F.sum(runtime.bytes_of(wide))).first()[0] > 2_000
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", 1_000)
+    plan = runtime.sized_join(left, wide, ["k"])._jdf.queryExecution().analyzed().toString()
+    assert "_salt" in plan and runtime.sized_join(left, wide, ["k"]).count() == 1000
