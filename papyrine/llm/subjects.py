@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,8 @@ from papyrine.runtime import cut, sample_of
 SAMPLE_DOCS = 4_000
 #: Least occurrences of a telling word or rule, documents with the word, least lift of a word, least confidence of a rule, words in a rule.
 LEAST_COUNT, LEAST_DOCS, LEAST_LIFT, LEAST_CONFIDENCE, LONGEST = 3, 2, 2.0, 0.55, 2
+#: Spellings that a worker keeps.
+CACHE = 500_000
 #: Groups of words whose patterns grow apart.
 GROUPS = 24
 WORD = re.compile(r"[^\W\d_]{2,}")
@@ -56,10 +58,26 @@ class Rules:
     double: dict[tuple[str, str], tuple[str, float]]
     partners: frozenset[str]
     threshold: float = 0.2
+    seen: dict[str, str] = field(default_factory=dict, compare=False, repr=False)
+
+    def telling(self, sentence: str) -> list[str]:
+        """The words of a sentence that a rule has, in order; each spelling is folded and looked up once per worker."""
+        seen, out = self.seen, set()
+        for w in WORD.findall(sentence):
+            known = seen.get(w)
+            if known is None:
+                folded = fold_word(w)
+                known = folded if folded in self.single or folded in self.partners else ""
+                if len(seen) >= CACHE:
+                    seen.clear()
+                seen[w] = known
+            if known:
+                out.add(known)
+        return sorted(out)
 
     def match(self, sentence: str) -> tuple[str, float] | None:
         """The class and confidence of the surest rule that matches; the more evidence decides between equals."""
-        words = words_of(sentence)
+        words = self.telling(sentence)
         votes: dict[str, float] = {}
         top: dict[str, float] = {}
         for w in words:
@@ -67,7 +85,7 @@ class Rules:
             if hit:
                 votes[hit[0]] = votes.get(hit[0], 0.0) + hit[1]
                 top[hit[0]] = max(top.get(hit[0], 0.0), hit[1])
-        some = sorted(w for w in words if w in self.partners)
+        some = [w for w in words if w in self.partners]
         for i, a in enumerate(some):
             for b in some[i + 1 :]:
                 hit = self.double.get((a, b))
