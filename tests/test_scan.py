@@ -66,3 +66,19 @@ def test_search_moves_no_postings(tables):
     with contextlib.redirect_stdout(said):
         scan.search(queries, retrieval.stored(passages), 8).explain()
     assert "MapInArrow" in said.getvalue() and "Exchange" not in said.getvalue()
+
+
+def test_hybrid_passages_equals_hybrid_search(spark, tables):
+    queries, passages = tables
+
+    def vector(text):
+        return [float((text or "").count(c)) for c in "abcdefor"]
+
+    asked = spark.createDataFrame([(r.qid, r.text, vector(r.text)) for r in queries.collect()], "qid string, text string, embedding array<double>")
+    stored = spark.createDataFrame([(r.chunk_id, r.text, vector(r.text)) for r in passages.collect()], "chunk_id string, text string, embedding array<double>").repartition(3)
+    want = rows(retrieval.hybrid_search(asked, stored, retrieval.tfidf(passages), 170))
+    assert len({p for _, _, p, _ in want if p}) == 150 + len(ODD)  # passages without terms too
+    key = lambda r: (r[0], r[2] or "")
+    got = sorted(((q, 0, p, s) for q, _, p, s in rows(retrieval.hybrid_passages(asked, stored, 170))), key=key)
+    for x, y in zip(got, sorted(((q, 0, p, s) for q, _, p, s in want), key=key), strict=True):
+        assert x[:3] == y[:3] and abs(x[3] - y[3]) < 2e-5
