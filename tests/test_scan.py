@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from papyrine.functions import text as T
-from papyrine.operators import retrieval, scan
+from papyrine.operators import reader, retrieval, scan
 
 ODD = ["Điểm chuẩn ngành Công nghệ", "Diém chu ẩn a.b_c - x- -9", "KELVIN Kİ Straße", "a\x00b\x85c d", "", None, "§", "ab  ab ab", "Điểm chuẩn ngành Công nghệ"]
 
@@ -82,3 +82,12 @@ def test_hybrid_passages_equals_hybrid_search(spark, tables):
     got = sorted(((q, 0, p, s) for q, _, p, s in rows(retrieval.hybrid_passages(asked, stored, 170))), key=key)
     for x, y in zip(got, sorted(((q, 0, p, s) for q, _, p, s in want), key=key), strict=True):
         assert x[:3] == y[:3] and abs(x[3] - y[3]) < 2e-5
+
+
+def test_best_sentences_makes_tokens_once(spark):
+    questions = spark.createDataFrame([("q", "When did the new library open")], "qid string, question string")
+    found = spark.createDataFrame([("q", 1, 0.5, "The library is new. It opened in May.\nMore on the library")], "qid string, rank int, score double, text string")
+    best = reader.best_sentences(questions, found)
+    assert [(r.place, r.sentence, r.score) for r in best.orderBy("place").collect()] == [(1, "The library is new.", 2.5), (2, "More on the library", 1.5), (3, "It opened in May.", 0.5)]
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("aggregate(" in line and "regexp_extract_all" in line for line in plan.splitlines())
