@@ -2,7 +2,7 @@
 
 Only words with a letter outside ASCII can be garbled. For each distinct one every chain of up to three steps
 (encode with one of CODECS, decode as UTF-8; or read as the Vietnamese byte scheme of VNI fonts) gives candidates.
-A smoothed character trigram model, trained on the clean words of a bounded sample, scores the word and its
+A smoothed character trigram model, trained on the clean words of all texts, scores the word and its
 candidates; the likeliest is accepted if it beats the word itself by a margin that is validated on clean and on
 deliberately garbled words. A replacement character marks a loss that nothing restores.
 
@@ -22,21 +22,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.runtime import sample_of
+from papyrine.runtime import cut
 
 #: Encodings that UTF-8 text is taken for by mistake. Fixed values, names as Python spells them.
 CODECS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1258", "koi8-r", "gbk", "shift_jis", "big5")
 #: Bytes that windows-1252 leaves undefined; decoders pass them through.
 UNDEFINED = {0x81, 0x8D, 0x8F, 0x90, 0x9D}
 STEPS = 3
-#: Bound of the sample the character model is trained on.
-SAMPLE_ROWS = 1_500
+#: Words are counted over all texts; their frequencies are taken for so many texts, so that bounds hold at every size.
+PER_TEXTS = 1_500
+#: Distinct words that a task counts before it passes the counts on.
+HELD_WORDS = 300_000
 #: By how much all words of a text together must gain to be read in the font scheme.
 FONT_MARGIN = 12.0
-#: Occurrences in the sample from which a word is surely clean.
+#: Occurrences in PER_TEXTS texts from which a word is surely clean.
 SURE = 8
 LOST = "�"
 WORDS = re.compile(r"([ \n\t\r]+)")
+SPACES = re.compile(r"[ \n\t\r]+")
 RUNS = re.compile(r"[^\x00-\x7f]+")
 CACHE = 300_000
 
@@ -170,12 +173,22 @@ def suspicious(word: str) -> bool:
 
 
 def train(texts: list[str]) -> Model:
-    """Counts the clean words of the texts; every fifth frequent word is held out to validate the margin."""
-    raw = Counter(w for t in texts for w in WORDS.split(t) if w and not w.isspace())
-    counts: Counter = Counter()
+    """Trains on a list of texts."""
+    return learned(Counter(w for t in texts for w in WORDS.split(t) if w and not w.isspace()), len(texts))
+
+
+def learned(raw: dict[str, int], texts: int) -> Model:
+    """The model of the words' counts in `texts` texts; every fifth frequent word is held out to validate the margin.
+
+    A clean word counts from one occurrence in PER_TEXTS texts: however large the table, garbled words are many but
+    each is rare.
+    """
+    scale = max(1.0, texts / PER_TEXTS)
+    sums: Counter = Counter()
     for w, n in raw.items():
         if w.isascii() or not suspicious(w):
-            counts[w.lower()] += n
+            sums[w.lower()] += n
+    counts = {w: n / scale for w, n in sorted(sums.items()) if n >= scale}
     words = list(counts)
     held = [w for i, w in enumerate(sorted(words)) if i % 5 == 0 and not w.isascii() and counts[w] >= SURE]
     apart = set(held)
@@ -206,10 +219,39 @@ def train(texts: list[str]) -> Model:
     return model
 
 
-def fit(texts: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Trains on about sample_rows rows of a column `text`, chosen by hash."""
-    rows = sample_of(texts.filter(F.col("text").isNotNull()), sample_rows, F.col("text"))
-    return train([r.text for r in rows.select("text").collect()])
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, n): how often each word stands in all rows of a column `text`; the word null has the number of texts."""
+
+    def run(batches):
+        held: Counter = Counter()
+        number = 0
+
+        def passed(words: Counter, number: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([None, *words], pa.string()), pa.array([number, *words.values()], pa.int64())], names=["word", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                number += 1
+                held.update(w for w in SPACES.split(text) if w and not w.isspace())
+            if len(held) > HELD_WORDS:
+                yield passed(held, number)
+                held, number = Counter(), 0
+        yield passed(held, number)
+
+    return texts.select("text").filter(F.col("text").isNotNull()).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def fit(texts: DataFrame) -> Model:
+    """Trains on the words of all rows of a column `text`. The driver gets those that stand once in PER_TEXTS texts.
+
+    These are at most PER_TEXTS words for each word of an average text, whatever the number of texts.
+    """
+    counts = cut(word_counts(texts))
+    number = counts.filter(F.col("word").isNull()).agg(F.sum("n")).first()[0] or 0
+    # words of other case count together
+    forms = counts.filter(F.col("word").isNotNull()).withColumn("low", F.lower("word"))
+    frequent = forms.groupBy("low").agg(F.sum("n").alias("all"), F.collect_list(F.struct("word", "n")).alias("forms")).filter(F.col("all") >= max(1.0, number / PER_TEXTS))
+    return learned({r.word: r.n for r in frequent.select(F.explode("forms").alias("f")).select("f.word", "f.n").toLocalIterator()}, number)
 
 
 def garbled_words(text: str, model: Model) -> dict[str, str]:
