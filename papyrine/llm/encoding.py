@@ -4,7 +4,7 @@ Only words with a letter outside ASCII can be garbled. For each distinct one eve
 (encode with one of CODECS, decode as UTF-8; or read as the Vietnamese byte scheme of VNI fonts) gives candidates.
 A smoothed character trigram model, trained on the clean words of all texts, scores the word and its
 candidates; the likeliest is accepted if it beats the word itself by a margin that is validated on clean and on
-deliberately garbled words. A replacement character marks a loss that nothing restores.
+deliberately garbled words. The font scheme gives letters that only Vietnamese has in Vietnamese syllables alone. A replacement character marks a loss that nothing restores.
 
 Null, empty and blank texts are never affected. Decomposed accents, other scripts and rare signs are unusual but
 correct and stay.
@@ -58,7 +58,7 @@ def vni_table() -> dict[str, str]:
                 letter = VNI_ALONE.get(base, base)
                 made = unicodedata.normalize("NFC", letter + marks)
                 pairs[base + sign] = made
-                pairs[base.upper() + sign.upper()] = made.upper()
+                pairs[base.upper() + sign.upper()] = pairs[base.upper() + sign] = made.upper()
     for alone, made in VNI_ALONE.items():
         pairs[alone], pairs[alone.upper()] = made, made.upper()
     return pairs
@@ -67,6 +67,44 @@ def vni_table() -> dict[str, str]:
 VNI = vni_table()
 VNI_PATTERN = re.compile("|".join(sorted(map(re.escape, VNI), key=len, reverse=True)))
 
+# A Vietnamese syllable without its tone: initial, vowels, final. Fixed values of the orthography.
+INITIALS = "ngh ng nh gh gi g kh k qu ph p th tr t ch c b d đ h l m n r s v x"
+VOWELS = (
+    "a ă â e ê i o ô ơ u ư y ai ao au ay âu ây eo êu ia iê iêu iu oa oă oe oi oai oay oeo oo ôi ơi ua uâ uê ui uô uôi uơ uy uya uyê uyu"
+    " uây ưa ươ ươi ươu ưi ưu yê yêu"
+)
+TONES = "\u0301\u0300\u0309\u0303\u0323"
+SYLLABLE = re.compile(f"(?:{'|'.join(INITIALS.split())})?(?:{'|'.join(VOWELS.split())})(?:(?P<stop>ch|c|p|t)|ng|nh|m|n)?")
+#: Initials of Vietnamese words, as in ĐH; they have no vowel.
+INITIALISM = re.compile("[BCDĐGHKLMNPQRSTVX]+")
+LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def syllable(run: str) -> bool:
+    """Whether letters are one Vietnamese syllable or Vietnamese initials.
+
+    A syllable has one tone at most; one that ends in c, ch, p or t has the acute or the dot.
+    """
+    if INITIALISM.fullmatch(run):
+        return True
+    apart = unicodedata.normalize("NFD", run.lower())
+    tones = [c for c in apart if c in TONES]
+    match = SYLLABLE.fullmatch(unicodedata.normalize("NFC", "".join(c for c in apart if c not in TONES)))
+    return match is not None and len(tones) <= 1 and (not match["stop"] or tones in (["\u0301"], ["\u0323"]))
+
+
+def from_font(word: str) -> str:
+    """The word read in the font scheme: whole where that gives Vietnamese syllables, else only letters that aren't just Vietnamese.
+
+    Words of other languages have the signs of the scheme as letters (ö in höchstens isn't ư), but texts in French stand in it too.
+    """
+
+    def run(match: re.Match) -> str:
+        made = VNI_PATTERN.sub(lambda m: VNI[m[0]], match[0])
+        return made if syllable(made) else VNI_PATTERN.sub(lambda m: VNI[m[0]] if VNI[m[0]] <= "\xff" else m[0], match[0])
+
+    return LETTERS.sub(run, word)
+
 
 def to_bytes(word: str, codec: str) -> bytes | None:
     if codec == "cp1252":
@@ -148,7 +186,7 @@ class Model:
                 if by > gain:
                     top, gain = made, by
         if all(c <= "\xff" for c in word):  # the fonts put all of Vietnamese on these places
-            scheme = VNI_PATTERN.sub(lambda m: VNI[m[0]], word)
+            scheme = from_font(word)
             if scheme != word and (by := self.score(scheme) - own) > gain:
                 top, gain = scheme, by
         return top, gain
@@ -177,9 +215,27 @@ def train(texts: list[str]) -> Model:
     return learned(Counter(w for t in texts for w in WORDS.split(t) if w and not w.isspace()), len(texts))
 
 
+def counted(counts: dict[str, float]) -> Model:
+    """The trigrams, bigrams and characters of words with their counts."""
+    three: Counter = Counter()
+    two: Counter = Counter()
+    one: Counter = Counter()
+    for w in counts:
+        text, n = f"^^{w}$", 1 + int(math.log2(counts[w]))
+        for i in range(2, len(text)):
+            three[text[i - 2 : i + 1]] += n
+            two[text[i - 1 : i + 1]] += n
+            one[text[i]] += n
+        two["^^"] += n
+        one["^"] += 2 * n
+    return Model(dict(three), dict(two), dict(one), sum(one.values()))
+
+
 def learned(raw: dict[str, int], texts: int) -> Model:
     """The model of the words' counts in `texts` texts; every fifth frequent word is held out to validate the margin.
 
+    The model itself has the held-out words again, so that what is found doesn't hang on which these were.
+
     A clean word counts from one occurrence in PER_TEXTS texts: however large the table, garbled words are many but
     each is rare.
     """
@@ -192,20 +248,7 @@ def learned(raw: dict[str, int], texts: int) -> Model:
     words = list(counts)
     held = [w for i, w in enumerate(sorted(words)) if i % 5 == 0 and not w.isascii() and counts[w] >= SURE]
     apart = set(held)
-    three: Counter = Counter()
-    two: Counter = Counter()
-    one: Counter = Counter()
-    for w in words:
-        if w in apart:
-            continue
-        text, n = f"^^{w}$", 1 + int(math.log2(counts[w]))
-        for i in range(2, len(text)):
-            three[text[i - 2 : i + 1]] += n
-            two[text[i - 1 : i + 1]] += n
-            one[text[i]] += n
-        two["^^"] += n
-        one["^"] += 2 * n
-    model = Model(dict(three), dict(two), dict(one), sum(one.values()))
+    model = counted({w: n for w, n in counts.items() if w not in apart})
     clean = [model.best(w)[1] for w in held]
     garbled = []
     for i, w in enumerate(held):
@@ -214,9 +257,10 @@ def learned(raw: dict[str, int], texts: int) -> Model:
         except UnicodeDecodeError:
             continue
     worst, weak = max(clean, default=0.0), sorted(garbled)[len(garbled) // 50] if garbled else 6.0
-    model.margin = max(1.5, worst + 1.0) if worst + 1.0 < weak else max(1.5, weak)
-    model.known = frozenset(w for w in words if not w.isascii() and counts[w] >= 3 * SURE)
-    return model
+    whole = counted(counts)
+    whole.margin = max(1.5, worst + 1.0) if worst + 1.0 < weak else max(1.5, weak)
+    whole.known = frozenset(w for w in words if not w.isascii() and counts[w] >= 3 * SURE)
+    return whole
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
